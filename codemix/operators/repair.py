@@ -103,8 +103,8 @@ def clean_tags(utterances: DataFrame) -> DataFrame:
         "_old",
         lambda t: F.struct(clean_token(t["token"]).alias("token"), t["lang"].alias("lang")),
     )
-    cleaned = with_computed(
-        _renamed(utterances), tagged_tokens=F.filter(pairs, lambda t: t["token"] != "")
+    cleaned = _renamed(utterances).withColumn(
+        "tagged_tokens", F.filter(pairs, lambda t: t["token"] != "")
     ).drop("_old")
     return with_new_profile(
         cleaned.withColumns({

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codemix.functions import sequences as S, tagging as G
 from codemix.operators.ordering import median, ranked_values
+from codemix.session import with_computed
 
 # Targets, verdict limits and the sizes used by the top-up.
 TARGET_RATE = (20.0, 30.0)
@@ -107,8 +108,13 @@ def switch_types(utterances: DataFrame) -> DataFrame:
     })
 
 
-def _length_summary(lengths: DataFrame) -> DataFrame:
-    """Lengths repeat a lot, so the exact median works on few distinct values."""
+def length_stats(utterances: DataFrame) -> DataFrame:
+    """Over utterances with at least one English or Spanish word.
+
+    Lengths repeat a lot, so the exact median works on few distinct values.
+    """
+    n = F.col("n_es") + F.col("n_en")
+    lengths = _languages(utterances).select(F.when(n > 0, n).cast("bigint").alias("length"))
     return lengths.agg(
         F.count("length").alias("n"), F.avg("length").alias("mean"),
         F.percentile("length", 0.5).alias("median"),
@@ -116,33 +122,35 @@ def _length_summary(lengths: DataFrame) -> DataFrame:
     )
 
 
-def length_stats(utterances: DataFrame) -> DataFrame:
-    """Over utterances with at least one English or Spanish word."""
-    n = F.col("n_es") + F.col("n_en")
-    lengths = _languages(utterances).select(F.when(n > 0, n).cast("bigint").alias("length"))
-    return _length_summary(lengths)
-
-
 def cs_only_stats(utterances: DataFrame) -> DataFrame:
-    """Length and Spanish share of the mixed utterances only."""
-    n = F.col("n_es") + F.col("n_en")
-    mixed = (F.col("n_es") > 0) & (F.col("n_en") > 0)
-    rows = _languages(utterances).select(
-        F.when(mixed, n).cast("bigint").alias("length"),
-        F.when(mixed, F.col("n_es") / n * 100).alias("share"),
+    """Length and Spanish share of the mixed utterances only.
+
+    Utterances are merged to one row per pair of language counts first. Shares
+    take many distinct values, so their median goes over the ranked values.
+    """
+    counts = with_computed(
+        _languages(utterances), es=F.col("n_es").cast("bigint"), en=F.col("n_en").cast("bigint")
     )
-    shares = rows.agg(
-        F.avg("share").alias("mean_share"), F.min("share").alias("min_share"),
-        F.max("share").alias("max_share"),
+    rows = counts.groupBy(F.col("es").alias("n_es"), F.col("en").alias("n_en")).agg(
+        F.count("*").alias("rows")
     )
-    # Shares take many distinct values: their median goes over the ranked values.
-    middle = median(
-        rows.filter(F.col("share").isNotNull()), "share",
-        F.floor(F.col("share") * 1e6), "median_share",
+    mixed = rows.filter((F.col("n_es") > 0) & (F.col("n_en") > 0)).select(
+        (F.col("n_es") + F.col("n_en")).alias("length"),
+        (F.col("n_es") / (F.col("n_es") + F.col("n_en")) * 100).alias("share"), "rows",
     )
-    return (
-        _length_summary(rows).crossJoin(F.broadcast(shares)).crossJoin(F.broadcast(middle))
+    n = F.col("rows")
+    summary = mixed.agg(
+        F.sum(n).alias("n"), (F.sum(F.col("length") * n) / F.sum(n)).alias("mean"),
+        F.percentile("length", 0.5, n).alias("median"),
+        F.min("length").alias("min"), F.max("length").alias("max"),
+        (F.sum(F.col("share") * n) / F.sum(n)).alias("mean_share"),
+        F.min("share").alias("min_share"), F.max("share").alias("max_share"),
     )
+    middle = median(
+        mixed, "share", F.floor(F.col("share") * 1e6), F.sum(n), summary.select("n"),
+        "median_share",
+    )
+    return summary.crossJoin(F.broadcast(middle))
 
 
 def target_check(utterances: DataFrame, metadata: DataFrame) -> DataFrame:
@@ -222,9 +230,9 @@ def dataset_totals(conversations: DataFrame, utterances: DataFrame) -> DataFrame
 def first_switches(export: DataFrame) -> DataFrame:
     """Position of the first change of every switched row."""
     tags = F.split("pos_tags", "[|]")
-    return export.filter(F.col("has_code_switch") == "yes").select(
-        "id", S.first_change(tags).alias("switch_point")
-    )
+    rows = with_computed(export.select("id", "pos_tags", "has_code_switch"),
+                         _switched=F.col("has_code_switch") == "yes")
+    return rows.filter("_switched").select("id", S.first_change(tags).alias("switch_point"))
 
 
 def first_switch_stats(points: DataFrame) -> DataFrame:
@@ -298,18 +306,22 @@ def turn_lengths(export: DataFrame) -> DataFrame:
     return export.select("id", "has_code_switch", pieces.alias("token_count"))
 
 
+def _flagged(lengths: DataFrame) -> DataFrame:
+    rows = with_computed(lengths, _known=F.col("has_code_switch").isin("yes", "no"))
+    return rows.filter("_known").drop("_known")
+
+
 def _length_counts(lengths: DataFrame) -> DataFrame:
     """One row per flag and distinct length: all later steps work on these."""
     return (
-        lengths.filter(F.col("has_code_switch").isin("yes", "no"))
-        .groupBy("has_code_switch", "token_count").agg(F.count("*").alias("n"))
+        _flagged(lengths).groupBy("has_code_switch", "token_count").agg(F.count("*").alias("n"))
     )
 
 
 def turn_length_stats(lengths: DataFrame) -> DataFrame:
     x = F.col("token_count")
     return (
-        lengths.filter(F.col("has_code_switch").isin("yes", "no")).groupBy("has_code_switch").agg(
+        _flagged(lengths).groupBy("has_code_switch").agg(
             F.count("*").alias("n"), F.avg(x).alias("mean"),
             F.percentile(x, 0.5).alias("median"), F.stddev_samp(x).alias("std"),
             F.min(x).alias("min"), F.max(x).alias("max"),

@@ -12,7 +12,7 @@ from codemix.operators import (
     export as E, features as X, metrics as M, models, parse as P, planning as H, repair as R,
     stats as A,
 )
-from codemix.session import shared_folder, with_computed
+from codemix.session import shared_folder, with_computed, written
 from codemix.sources import dataset as D, views as V
 from codemix.streaming import ingest as I
 
@@ -316,6 +316,11 @@ def _examples(spark, sf):
     return X.switch_examples(V.utterances(spark, sf))
 
 
+def _examples_table(spark, sf):
+    """For queries that pass over the examples several times."""
+    return written(_examples(spark, sf), "examples")
+
+
 def switch_examples(spark, sf):
     return _examples(spark, sf).select(
         *UTT, F.array_join("tokens", " ").alias("tokens"),
@@ -356,7 +361,7 @@ def vocab_topk(spark, sf):
 
 
 def _weights(spark, sf):
-    examples = _examples(spark, sf)
+    examples = _examples_table(spark, sf)
     events = X.term_events(examples)
     return events, X.idf_weights(events, X.vocabulary(events), X.count_prefixes(examples))
 
@@ -370,20 +375,19 @@ def tfidf(spark, sf):
 
 
 def tfidf_norms(spark, sf):
-    return X.prefix_norms(X.norm_steps(*_weights(spark, sf)))
+    return X.prefix_norms(*_weights(spark, sf))
 
 
 def tfidf_mass(spark, sf):
-    events, weights = _weights(spark, sf)
-    return X.term_mass(events, weights, X.norm_steps(events, weights))
+    return X.term_mass(*_weights(spark, sf))
 
 
 def stratified_split(spark, sf):
-    return X.stratified_split(X.switch_pairs(_examples(spark, sf)), models.KEY)
+    return X.stratified_split(X.switch_pairs(_examples_table(spark, sf)), models.KEY)
 
 
 def class_weights(spark, sf):
-    split = X.stratified_split(X.switch_pairs(_examples(spark, sf)), models.KEY)
+    split = X.stratified_split(X.switch_pairs(_examples_table(spark, sf)), models.KEY)
     return X.class_weights(split.filter(~F.col("is_test")))
 
 

@@ -23,6 +23,17 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return os.path.join(base, f"codemix-{purpose}-{uuid.uuid4().hex}")
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table to the shared folder and read it back.
+
+    For intermediate results that several later passes read: they are computed
+    once, survive the loss of executors, and stay columnar.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a small scan over all cores.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from codemix.functions import tagging as G, text as T
 from codemix.operators.planning import BATCH_TOPICS, TOPICS
 from codemix.operators.tagging import with_profile
-from codemix.session import spread, with_computed
+from codemix.session import spread
 
 STRATEGIES = [
     "controlled_switch", "role_based", "topic_variation_casual", "back_translation",
@@ -82,9 +82,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main table: lines tagged by the heuristic, with some tag debris in the text."""
-    tagged = with_computed(
-        lines(spark, sf_dir), tagged_tokens=G.tag(F.col("original_text"))
-    )
+    tagged = lines(spark, sf_dir).withColumn("tagged_tokens", G.tag(F.col("original_text")))
     return with_profile(tagged).select(
         "conv_pos",
         F.col("conv_pos").alias("conversation_id"),
@@ -173,7 +171,7 @@ def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of the `conversations` table, tagged by the heuristic."""
     df = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return with_computed(df, tagged_tokens=G.tag(F.col("text")))
+    return df.withColumn("tagged_tokens", G.tag(F.col("text")))
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
