@@ -42,7 +42,6 @@ def mark_segments(c: Column) -> Column:
     A segment counts only when it has no white space at its edges; a padded
     one stays in the text as written and is tokenised like any other words.
     """
-    c = F.translate(c, IN_SEGMENT + SEGMENT_END, "")
     opened = F.regexp_replace(c, _SEGMENT, f"{IN_SEGMENT}$1{SEGMENT_END}")
     unpadded = F.regexp_replace(
         opened,
@@ -55,16 +54,22 @@ def mark_segments(c: Column) -> Column:
         f"(?:{IN_SEGMENT}|\\G(?!^)[{T.SPACE}]+)([^{_BREAK}]+)",
         f" {IN_SEGMENT}$1",
     )
-    return F.when(c.contains("<ES>"), each_word).otherwise(c)
+    return each_word
+
+
+def _without_controls(c: Column) -> Column:
+    return T.replace_all(c, [(IN_SEGMENT, ""), (SEGMENT_END, "")])
 
 
 def prepare(c: Column, force_language: Column | None = None) -> Column:
     """Text ready for :func:`split_tokens`; marks are read only without a forced language."""
-    c = T.drop_numbered_marks(c)
-    if force_language is None:
-        return mark_segments(c)
-    plain = F.translate(c, IN_SEGMENT + SEGMENT_END, "")
-    return F.when(force_language.isNotNull(), plain).otherwise(mark_segments(c))
+    may_hold_marks = F.contains(c, F.lit("<"))
+    if force_language is not None:
+        may_hold_marks = may_hold_marks & force_language.isNull()
+    # The conditions look at the text as it came: an expression inside a
+    # higher-order function is evaluated again wherever it is written.
+    plain = _without_controls(T.drop_numbered_marks(c))
+    return F.when(may_hold_marks, mark_segments(plain)).otherwise(plain)
 
 
 def split_tokens(prepared: Column) -> Column:

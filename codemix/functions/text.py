@@ -41,4 +41,5 @@ def replace_all(c: Column, pairs) -> Column:
 
 
 def drop_numbered_marks(c: Column) -> Column:
-    return F.regexp_replace(c, r"\[\p{Nd}+\]", "")
+    without = F.regexp_replace(c, r"\[\p{Nd}+\]", "")
+    return F.when(F.contains(c, F.lit("[")), without).otherwise(c)

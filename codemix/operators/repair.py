@@ -140,7 +140,7 @@ def is_marked(token: Column, marked: Column, exact: bool = False) -> Column:
         same = F.lower(core) == F.lower(F.trim(word, edge))
         if exact:
             return same
-        return same | F.contains(word, core) | F.contains(core, word)
+        return F.contains(word, core) | F.contains(core, word) | same
 
     return F.exists(marked, matches)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codemix.functions import sequences as S, tagging as G
 from codemix.operators.ordering import median, ranked_values
@@ -250,16 +250,18 @@ def first_switch_stats(points: DataFrame) -> DataFrame:
 def first_switch_hist(points: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Equal-width bins from the minimum to the maximum; the last one is closed.
 
-    Rows are merged to one per distinct position first. A value belongs to the
-    bin whose lower edge is the last one not above it.
+    Rows are merged to one per distinct position first, so the window over all
+    of them is small. A value belongs to the bin whose lower edge is the last
+    one not above it. Bins without rows are listed with 0.
     """
-    counts = points.groupBy("switch_point").agg(F.count("*").alias("n"))
-    ends = counts.agg(
-        F.min("switch_point").cast("double").alias("low"),
-        F.max("switch_point").cast("double").alias("high"),
-    )
+    everything = Window.partitionBy()
+    counts = points.groupBy("switch_point").agg(F.count("*").alias("n")).withColumns({
+        "low": F.min("switch_point").over(everything).cast("double"),
+        "high": F.max("switch_point").over(everything).cast("double"),
+    })
     single = F.col("low") == F.col("high")
-    ends = ends.select(
+    counts = counts.select(
+        "switch_point", "n",
         F.when(single, F.col("low") - 0.5).otherwise(F.col("low")).alias("low"),
         F.when(single, F.col("high") + 0.5).otherwise(F.col("high")).alias("high"),
     )
@@ -268,19 +270,18 @@ def first_switch_hist(points: DataFrame, bins: int = HISTOGRAM_BINS) -> DataFram
         F.sequence(F.lit(1), F.lit(bins - 1)),
         lambda i: i * step + F.col("low") <= F.col("switch_point"),
     )
-    hits = (
-        counts.crossJoin(F.broadcast(ends))
-        .groupBy(F.size(reached).alias("bin")).agg(F.sum("n").alias("n"))
+    filled = counts.groupBy("low", "high", F.size(reached).alias("bin")).agg(F.sum("n").alias("n"))
+    one_row = filled.groupBy("low", "high").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("found")
     )
-    every = ends.select(
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"), "low", "high"
-    )
-    return every.join(F.broadcast(hits), "bin", "left").select(
+    return one_row.select(
+        "low", "high", "found", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")
+    ).select(
         "bin",
         (F.col("bin") * step + F.col("low")).alias("lower"),
         F.when(F.col("bin") == bins - 1, F.col("high"))
         .otherwise((F.col("bin") + 1) * step + F.col("low")).alias("upper"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce(F.col("found")[F.col("bin")], F.lit(0)).alias("n"),
     )
 
 
