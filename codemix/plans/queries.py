@@ -16,8 +16,7 @@ from codemix.session import shared_folder, with_computed, written
 from codemix.sources import dataset as D, views as V
 from codemix.streaming import ingest as I
 
-# A forest of the default size on whole tables takes hours on one machine, so
-# the registered query grows a smaller one on the same rows.
+# The registered query grows a smaller forest than the default, on all rows.
 CHECK_TREES, CHECK_DEPTH = 10, 5
 
 
