@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codemix import schema
+from codemix.session import with_computed
 
 # A JSON line holds at most this many utterances; a longer conversation goes
 # on in further lines, so no task ever gathers a whole one.
@@ -60,8 +61,12 @@ def flatten(conversations: DataFrame) -> DataFrame:
 
 
 def flatten_tokens(utterances: DataFrame) -> DataFrame:
-    return utterances.select(
-        "conv_pos", "utt_idx", F.posexplode("tagged_tokens").alias("pos", "t")
+    """One row per token."""
+    rows = with_computed(
+        utterances.select("conv_pos", "utt_idx", "tagged_tokens"), tagged=F.col("tagged_tokens")
+    )
+    return rows.select(
+        "conv_pos", "utt_idx", F.posexplode("tagged").alias("pos", "t")
     ).select("conv_pos", "utt_idx", "pos", "t.token", "t.lang")
 
 
