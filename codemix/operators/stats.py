@@ -387,10 +387,14 @@ def rank_test(ranked: DataFrame) -> DataFrame:
     product = F.col("n1").cast("double") * F.col("n2")
     tested = rank_sums(ranked).withColumns({
         "mean_u": product / 2,
-        "sigma": F.sqrt(product / 12 * ((n + 1) - F.col("ties") / (n * (n - 1).cast("double")))),
+        "sigma": F.sqrt(
+            product / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1).cast("double")))
+        ),
     }).withColumn(
         "z",
-        (F.greatest(F.col("u1"), product - F.col("u1")) - F.col("mean_u") - 0.5) / F.col("sigma"),
+        F.try_divide(
+            F.greatest(F.col("u1"), product - F.col("u1")) - F.col("mean_u") - 0.5, F.col("sigma")
+        ),
     )
     p = F.udf(_p_value, "double")("n1", "n2", "u1", "z", F.col("ties") > 0)
     return tested.withColumn("p_value", p).select(
