@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codemix.llm import sharding
+from codemix.llm import secrets, sharding
 from codemix.llm.common import table
 
 
@@ -10,7 +10,12 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op10_secret_scan(spark, sf_dir):
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op4_sharding": op4_sharding,
+    "op10_secret_scan": op10_secret_scan,
 }
 ORACLE: dict[str, str] = {}

@@ -1,0 +1,85 @@
+"""Spans of secrets against a plain Python scan."""
+
+import hashlib
+import math
+import random
+import re
+from collections import Counter
+
+from codemix.llm import secrets as S
+
+ASSIGN = re.compile(
+    r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+    re.IGNORECASE | re.ASCII,
+)
+
+
+def base_spans(text):
+    spans = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    spans += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    spans += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return spans
+
+
+def entropy(window):
+    return -sum(c / len(window) * math.log2(c / len(window)) for c in Counter(window).values())
+
+
+def all_spans(text):
+    base = base_spans(text)
+    spans = list(base)
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        word = m[0]
+        if not re.search("[0-9]", word) or not re.search("[A-Za-z]", word):
+            continue
+        if any(re.search(p, word) for p in S.ALLOWED):
+            continue
+        kind = "entropy_hex" if re.fullmatch("[0-9A-Fa-f]+", word) else "entropy_base64"
+        hits = [i for i in range(len(word) - 19) if entropy(word[i:i + 20]) >= S.CLASSES[kind][1] - 1e-9]
+        if hits:
+            a, b = m.start() + hits[0], m.start() + hits[-1] + 20
+            if all(e <= a or s >= b for _, s, e in base):
+                spans.append((kind, a, b))
+    return base, spans
+
+
+def joined(spans):
+    spans = sorted(spans, key=lambda s: (s[1], S.KINDS.index(s[0])))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def make_texts():
+    rng = random.Random(5)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    some = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    parts = [
+        lambda: "token = \"" + some("0123456789abcdef", 40) + "\"", lambda: "Password:" + some(b64, 12),
+        lambda: "API_KEY='" + some(b64, 9) + "'", lambda: "secret: token: abcdefgh", lambda: "token=short",
+        lambda: "AKIA" + some("ABCDEFGHIJKLMNOP0123456789", rng.randint(5, 20)), lambda: some(b64, rng.randint(15, 70)),
+        lambda: some("0123456789abcdef", rng.randint(20, 45)), lambda: some("0123456789ABCDEF", rng.randint(20, 45)),
+        lambda: "word é 日本 " * rng.randint(1, 4), lambda: "𝒳" * rng.randint(1, 3), lambda: "\n",
+        lambda: "123e4567-e89b-12d3-a456-426614174000", lambda: "aaaaaaaaaaaaaaaaaaaaaaaaaaa1",
+        lambda: "paſſword token=abcdefghijk", lambda: "abcdefghijklmnop0123456789", lambda: "some/long/path/of/names9",
+    ]
+    texts = [" ".join(rng.choice(parts)() for _ in range(rng.randint(0, 12))) for _ in range(120)]
+    return texts + ["", None, "x" * 50_000 + some(b64, 3000), "secret=" * 2000]
+
+
+def test_spans_equal_a_plain_scan(docs):
+    texts = make_texts()
+    rows = list(enumerate(texts)) + [(0, texts[0]), (None, texts[1])]
+    got = S.digest(S.find_secrets(docs(rows))).collect()
+    assert len(got) == len(rows)
+    expected = Counter()
+    for i, text in rows:
+        base, spans = all_spans(text or "")
+        kinds = Counter(k for k, _, _ in base)
+        expected[(
+            i, kinds["assign"], kinds["access"], kinds["hex"],
+            hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans),
+        )] += 1
+    assert Counter(tuple(r) for r in got) == expected
+
+
+def test_no_rows(docs):
+    assert S.digest(S.find_secrets(docs([]))).collect() == []
