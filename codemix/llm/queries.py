@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codemix.llm import secrets, sharding
+from codemix.llm import decontam, oracle, secrets, sharding
 from codemix.llm.common import table
 
 
@@ -10,12 +10,20 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark, sf_dir):
+    found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.report(found)
+
+
 def op10_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
     "op4_sharding": op4_sharding,
+    "op6_decontamination": op6_decontamination,
     "op10_secret_scan": op10_secret_scan,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_decontamination": oracle.DECONTAMINATION,
+}
