@@ -36,4 +36,9 @@ def unsigned_hash(c: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(c), 11) / F.lit(float(1 << 53))
 
 
-__all__ = ["ROW", "ascii_lower", "keyed", "table", "unsigned_hash", "written"]
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Hand texts to Python in batches bounded by their bytes, as some are very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+__all__ = ["ROW", "ascii_lower", "bounded_batches", "keyed", "table", "unsigned_hash", "written"]

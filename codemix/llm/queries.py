@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from codemix.llm import decontam, oracle, secrets, sharding
+from codemix.llm import decontam, oracle, secrets, sharding, simhash
 from codemix.llm.common import table
 
 
+def op2_simhash(spark, sf_dir):
+    return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,7 @@ def op10_secret_scan(spark, sf_dir):
 
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op4_sharding": op4_sharding,
     "op6_decontamination": op6_decontamination,
     "op10_secret_scan": op10_secret_scan,
