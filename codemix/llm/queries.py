@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from codemix.llm import decontam, oracle, secrets, sharding, simhash
+import public_tokenizers
+
+from codemix.llm import decontam, oracle, secrets, sentencepiece_bpe, sharding, simhash
 from codemix.llm.common import table
 
 
@@ -14,6 +16,11 @@ def op4_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark, sf_dir):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepiece_bpe.digest(table(spark, sf_dir, "documents"), path)
+
+
 def op6_decontamination(spark, sf_dir):
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontam.report(found)
@@ -26,6 +33,7 @@ def op10_secret_scan(spark, sf_dir):
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_sharding": op4_sharding,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_decontamination": op6_decontamination,
     "op10_secret_scan": op10_secret_scan,
 }
