@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from codemix.llm import decontam, oracle, secrets, sentencepiece_bpe, sharding, simhash
+from codemix.llm import decontam, oracle, pii, secrets, sentencepiece_bpe, sharding, simhash
 from codemix.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_decontamination(spark, sf_dir):
     return decontam.report(found)
 
 
+def op9_pii(spark, sf_dir):
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontamination": op6_decontamination,
+    "op9_pii": op9_pii,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE: dict[str, str] = {
