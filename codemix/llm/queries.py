@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from codemix.llm import decontam, oracle, pii, secrets, sentencepiece_bpe, sharding, simhash
+from codemix.llm import (
+    decontam, oracle, pii, secrets, sentencepiece_bpe, sharding, simhash, toxicity,
+)
 from codemix.llm.common import table
 
 
@@ -26,6 +28,11 @@ def op6_decontamination(spark, sf_dir):
     return decontam.report(found)
 
 
+def op7_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -39,6 +46,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
     "op9_pii": op9_pii,
     "op10_secret_scan": op10_secret_scan,
 }
