@@ -5,11 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 
 from codemix.llm import (
-    decontam, oracle, pii, secrets, sentencepiece_bpe, sharding, simhash, toxicity,
+    decontam, oracle, pii, secrets, sentencepiece_bpe, sharding, simhash, token_files, toxicity,
 )
 from codemix.llm.common import table
 
 
+def op1_token_files(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_files.round_trip(table(spark, sf_dir, "documents"), path)
+
+
 def op2_simhash(spark, sf_dir):
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
@@ -42,6 +47,7 @@ def op10_secret_scan(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_token_files": op1_token_files,
     "op2_simhash": op2_simhash,
     "op4_sharding": op4_sharding,
     "op5_sentencepiece": op5_sentencepiece,
