@@ -6,6 +6,7 @@ import public_tokenizers
 
 from codemix.llm import (
     decontam, oracle, pii, secrets, sentencepiece_bpe, sharding, simhash, token_files, toxicity,
+    warc,
 )
 from codemix.llm.common import table
 
@@ -38,6 +39,10 @@ def op7_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_pii(spark, sf_dir):
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -53,9 +58,11 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
+    "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_secret_scan": op10_secret_scan,
 }
 ORACLE: dict[str, str] = {
     "op6_decontamination": oracle.DECONTAMINATION,
+    "op8_warc": oracle.WARC,
 }

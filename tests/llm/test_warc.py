@@ -1,0 +1,78 @@
+"""Archives: every record once, false starts inside payloads rejected, broken files refused."""
+
+import hashlib
+from collections import Counter
+
+import pytest
+
+from codemix.llm import queries, warc
+from codemix.session import shared_folder
+from oracle_check import difference, oracle_connection
+
+FAKE = warc.record(77, "http://fake", b"fake payload", None).decode()
+NESTED = warc.record(78, "http://fake", FAKE.encode() * 3, None).decode()
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    def make(rows):
+        return spark.createDataFrame([(i, u, h, 1, "x") for i, u, h in rows], "page_id long, url string, html string, length long, file string")
+    return make
+
+
+def cases():
+    long = "é" * 600
+    rows = [(i, f"http://h/{i}", "<p>" + str(i) * (i * 7)) for i in range(300)]
+    rows += [(1000 + i, "http://copy", long) for i in range(50)]
+    rows += [(2000 + i, "http://short", "same short") for i in range(5)]
+    rows += [(3000, None, None), (3001, "", ""), (3002, "bad\r\nWARC/1.1\r\n url", "x"), (None, "u", long), (None, "u", "y")]
+    rows += [(4000, "f", FAKE), (4001, "f", NESTED * 20), (4002, "f", "WARC/1.1\r\n" * 500), (4003, "f", FAKE[:-9] + NESTED)]
+    rows += [(4004, "f", "WARC/1.1\r\nContent-Length: 99999999999999999999\r\n\r\n" * 30), (4005, "big", "z" * 300_000)]
+    return rows + [(5, "http://h/5", "<p>" + "5" * 35), (1049, "http://copy", long)]
+
+
+def expected(rows):
+    largest = {}
+    for i, _, html in rows:
+        if i is not None:
+            largest[html or ""] = max(largest.get(html or "", i), i)
+    for i, _, html in rows:
+        data = (html or "").encode()
+        first = largest.get(html or "")
+        revisit = len(data) >= 1000 and first is not None and first != i
+        yield i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", first if revisit else None
+
+
+@pytest.mark.parametrize("range_bytes, file_bytes", [(4 << 20, 64 << 20), (700, 1 << 16), (64, 1 << 20)])
+def test_round_trip(spark, pages, monkeypatch, range_bytes, file_bytes):
+    rows = cases()
+    monkeypatch.setattr(warc, "FILE_BYTES", file_bytes)
+    folder = shared_folder(spark, "warc-test")
+    made = warc.write(pages(rows).coalesce(2), folder)
+    assert made.groupBy().sum("records").first()[0] == len(rows)
+    got = Counter(map(tuple, warc.read(spark, folder, range_bytes).collect()))
+    assert got == Counter(expected(rows))
+
+
+def test_other_archives(spark, tmp_path):
+    """Other tools' fields and records; lines of a header may come in any order and case."""
+    strange = b"WARC/1.0\r\ncontent-length: 4\r\nWARC-TYPE: metadata\r\n\r\nWARC\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(strange * 3 + warc.record(9, "u", b"p", None) + strange)
+    rows = warc.read(spark, f"file://{tmp_path}", 50).collect()
+    assert [(r.page_id, r.record_type) for r in rows] == [(9, "response")]
+
+
+@pytest.mark.parametrize("data", [b"no archive", warc.record(1, "u", b"p", None)[:-1], b"\r\n" + warc.record(1, "u", b"p", None)])
+def test_broken_files(spark, tmp_path, data):
+    (tmp_path / "a.warc").write_bytes(data)
+    with pytest.raises(ValueError):
+        warc.read(spark, f"file://{tmp_path}").collect()
+
+
+def test_no_rows(pages):
+    assert warc.round_trip(pages([])).collect() == []
+
+
+def test_equals_sql(spark, small):
+    sql = oracle_connection(small).sql(queries.ORACLE["op8_warc"])
+    assert difference(queries.QUERIES["op8_warc"](spark, small), sql) is None
