@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 
 from codemix.llm import (
-    decontam, oracle, pii, secrets, sentencepiece_bpe, sharding, simhash, token_files, toxicity,
+    ann, decontam, oracle, pii, secrets, sentencepiece_bpe, sharding, simhash, token_files, toxicity,
     warc,
 )
+from pyspark.sql import functions as F
+
 from codemix.llm.common import table
 
 
@@ -20,6 +22,10 @@ def op2_simhash(spark, sf_dir):
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op3_nearest(spark, sf_dir):
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op4_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -54,6 +60,7 @@ def op10_secret_scan(spark, sf_dir):
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_simhash": op2_simhash,
+    "op3_nearest": op3_nearest,
     "op4_sharding": op4_sharding,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_decontamination": op6_decontamination,
