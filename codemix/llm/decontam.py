@@ -117,21 +117,23 @@ def hit_words(hits: Column) -> Column:
     ).cast("long")
 
 
+def contaminated(n_hit: Column, n_words: Column) -> Column:
+    return (n_hit > 0) & (SHARE * n_hit >= n_words)
+
+
 def report(scanned: DataFrame) -> DataFrame:
     """Words, hit words and items of every document, and whether it is contaminated."""
     counted = scanned.withColumn("n_hit", hit_words(F.col("hits")))
     return counted.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
     )
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
-    """The rows whose documents are not contaminated, with all their columns.
-
-    A row whose id is null stays: nothing can name it.
-    """
-    found = report(scan(docs, items, id_col, **columns)).where("contaminated")
-    drop = found.select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+def remove_contaminated(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:
+    """The rows of a stored table that are not contaminated, with all their columns."""
+    found = scan(docs, items, **columns)
+    drop = found.where(contaminated(hit_words(F.col("hits")), F.col("n_words"))).select(ROW)
+    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
+    return rows.join(drop, ROW, "left_anti").select(*docs.columns)

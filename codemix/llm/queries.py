@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from codemix.llm import (
     ann, decontam, oracle, pii, secrets, sentencepiece_bpe, sharding, simhash, token_files, toxicity,
     warc,
 )
-from pyspark.sql import functions as F
-
 from codemix.llm.common import table
 
 
@@ -58,6 +58,7 @@ def op10_secret_scan(spark, sf_dir):
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_token_files": op1_token_files,
     "op2_simhash": op2_simhash,
     "op3_nearest": op3_nearest,
