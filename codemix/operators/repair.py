@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from codemix.functions import tagging as G, text as T
 from codemix.operators.tagging import with_new_profile
 from codemix.session import with_computed
+from codemix.sources.dataset import headers
 
 # Literal replacements, applied in this order, and the
 # strategies that are spot-checked.
@@ -60,7 +61,7 @@ def metadata_recount(utterances: DataFrame) -> DataFrame:
 def repair_provenance(conversations: DataFrame, utterances: DataFrame) -> DataFrame:
     """How many conversations and utterances the strategy repair rewrote."""
     monolingual = F.count_if(G.forced_language(F.col("strategy")).isNotNull())
-    n_conversations = conversations.agg(monolingual.alias("conversations_fixed"))
+    n_conversations = headers(conversations).agg(monolingual.alias("conversations_fixed"))
     n_utterances = utterances.agg(monolingual.alias("utterances_fixed"))
     return n_conversations.crossJoin(F.broadcast(n_utterances)).withColumn(
         "fix_method", F.lit("strategy-based-retagging")
@@ -70,7 +71,7 @@ def repair_provenance(conversations: DataFrame, utterances: DataFrame) -> DataFr
 def repair_sample(conversations: DataFrame, utterances: DataFrame) -> DataFrame:
     """First conversation of each checked strategy and its first utterance, if any."""
     first = (
-        conversations.filter(F.col("strategy").isin(CHECKED_STRATEGIES))
+        headers(conversations).filter(F.col("strategy").isin(CHECKED_STRATEGIES))
         .groupBy("strategy")
         .agg(F.min(F.struct("conv_pos", "conversation_id")).alias("c"))
         .select("strategy", "c.conv_pos", "c.conversation_id")

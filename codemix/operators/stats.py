@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from codemix.functions import sequences as S, tagging as G
 from codemix.operators.ordering import median, ranked_values
 from codemix.session import with_computed
+from codemix.sources.dataset import headers
 
 # Targets, verdict limits and the sizes used by the top-up.
 TARGET_RATE = (20.0, 30.0)
@@ -217,7 +218,7 @@ def topup_from(rate: DataFrame, target: float = TOPUP_RATE) -> DataFrame:
 
 def dataset_totals(conversations: DataFrame, utterances: DataFrame) -> DataFrame:
     """The totals kept in the metadata, with the time of the count."""
-    n = conversations.agg(F.count("*").alias("total_conversations"))
+    n = headers(conversations).agg(F.count("*").alias("total_conversations"))
     sums = utterances.agg(
         F.count("*").alias("total_utterances"),
         F.coalesce(F.sum(F.col("tokens").cast("bigint")), F.lit(0)).alias("total_tokens"),
@@ -379,16 +380,16 @@ def rank_sums(ranked: DataFrame) -> DataFrame:
         F.sum("n_no").alias("n1"), F.sum("n_yes").alias("n2"),
         F.sum(mid_rank * F.col("n_no")).alias("r1"),
         F.sum(n * n * n - n).alias("ties"),
-    ).withColumn("u1", F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2)
+    ).withColumn("u1", F.col("r1") - F.col("n1").cast("double") * (F.col("n1") + 1) / 2)
 
 
 def rank_test(ranked: DataFrame) -> DataFrame:
-    n = F.col("n1") + F.col("n2")
+    n = F.col("n1").cast("double") + F.col("n2")
     product = F.col("n1").cast("double") * F.col("n2")
     tested = rank_sums(ranked).withColumns({
         "mean_u": product / 2,
         "sigma": F.sqrt(
-            product / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1).cast("double")))
+            product / 12 * ((n + 1) - F.try_divide(F.col("ties"), n * (n - 1)))
         ),
     }).withColumn(
         "z",

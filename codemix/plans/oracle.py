@@ -210,7 +210,10 @@ PARTS: dict[str, str] = {
     **tokens("dia_tok", "dialogue_text"),
     "dia_agg": f"""
         SELECT a, b, {COUNTS}, count(*) AS n_all, {SHOWN} AS tagged,
-          string_agg({POS}, ' ' ORDER BY pos) AS pos_tags FROM dia_tok GROUP BY ALL""",
+          string_agg({POS}, ' ' ORDER BY pos) AS pos_tags,
+          string_agg(token, '|' ORDER BY pos) FILTER (lang <> 'punct') AS piped,
+          string_agg(upper(lang), '|' ORDER BY pos) FILTER (lang <> 'punct') AS piped_tags
+        FROM dia_tok GROUP BY ALL""",
     "judged": """
         SELECT d.*, t.* EXCLUDE (a, b), coalesce(n_all, 0) > 2 AS accepted
         FROM dialogue d LEFT JOIN dia_agg t ON response_id = a AND line_no = b""",
@@ -227,12 +230,16 @@ PARTS: dict[str, str] = {
           ELSE CASE accepted_before % 2 WHEN 0 THEN 'Speaker A' ELSE 'Speaker B' END END AS speaker
         FROM (SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY first_line) AS nr
               FROM names)""",
-    "parsed": f"""
+    "parsed_all": f"""
         SELECT response_id, utt_idx, speaker, {cleaned_text('content')} AS text,
           content AS original_text, n_words AS tokens, tagged, pos_tags,
-          {FLAG} AS has_code_switch, round({SHARE}, 6) AS spanish_percentage, strategy, topic
+          {FLAG} AS has_code_switch, {SHARE} AS share, strategy, topic,
+          coalesce(piped, '') AS piped, coalesce(piped_tags, '') AS piped_tags
         FROM numbered JOIN speakers USING (response_id, name)
         WHERE accepted AND n_utterances >= 8""",
+    "parsed": """
+        SELECT * EXCLUDE (share, piped, piped_tags), round(share, 6) AS spanish_percentage
+        FROM parsed_all""",
     # ---- batch answers
     "batch_rows": """
         SELECT doc_id AS batch_id, CASE lang WHEN 'es' THEN 'spanish' ELSE 'english' END AS language,
@@ -337,6 +344,34 @@ PARTS: dict[str, str] = {
           printf('%.1f', spanish_percentage) AS spanish_percentage,
           strategy AS generation_strategy, topic
         FROM utt""",
+    # ---- existing, single and batch conversations in one export
+    "single_ids": """
+        SELECT response_id, (SELECT max(conv_pos) FROM convs)
+          + row_number() OVER (ORDER BY response_id) AS conversation_id
+        FROM (SELECT DISTINCT response_id FROM parsed_all)""",
+    "later_ids": """
+        SELECT batch_id, segment, (SELECT max(conversation_id) FROM single_ids)
+          + row_number() OVER (ORDER BY batch_id, segment) AS conversation_id
+        FROM (SELECT DISTINCT batch_id, segment FROM batch_utt)""",
+    "three": """
+        SELECT conv_pos AS conversation_id, utt_idx, speaker, text, piped, piped_tags,
+          has_code_switch, spanish_percentage, strategy, topic FROM utt
+        UNION ALL
+        SELECT conversation_id, utt_idx, speaker, text, piped, piped_tags,
+          has_code_switch, share, strategy, topic FROM parsed_all JOIN single_ids USING (response_id)
+        UNION ALL
+        SELECT conversation_id, b.utt_idx, b.speaker, text, replace(text, ' ', '|'),
+          replace(regexp_replace(text, '[^ ]+',
+            CASE WHEN spanish_percentage = 100 THEN 'ES' ELSE 'EN' END, 'g'), ' ', '|'),
+          has_code_switch, spanish_percentage, strategy, topic
+        FROM batch_utt b JOIN later_ids USING (batch_id, segment)""",
+    "three_export": """
+        SELECT row_number() OVER (ORDER BY conversation_id, utt_idx) - 1 AS id, conversation_id,
+          utt_idx AS utterance_id, speaker, text AS utterance, piped AS tokens,
+          piped_tags AS pos_tags, has_code_switch,
+          printf('%.1f', spanish_percentage) AS spanish_percentage,
+          strategy AS generation_strategy, topic
+        FROM three""",
     "seq": """
         SELECT conv_pos, utt_idx, token, lang,
           row_number() OVER (PARTITION BY conv_pos, utt_idx ORDER BY pos) - 1 AS i,
@@ -534,6 +569,7 @@ _FINAL = {
         SELECT conversation_id, utt_idx, speaker, text, tokens, true, has_code_switch,
           spanish_percentage, strategy, topic
         FROM batch_utt JOIN batch_convs USING (batch_id, segment, strategy, topic)""",
+    "append_export": "SELECT * FROM three_export",
     "tokenize": """
         SELECT conv_id, turn, coalesce(tokens, '') AS tokens FROM conversations LEFT JOIN (
           SELECT a, b, string_agg(token, ' ' ORDER BY pos) AS tokens FROM turn_tok GROUP BY ALL)

@@ -16,8 +16,8 @@ from codemix.session import shared_folder, with_computed, written
 from codemix.sources import dataset as D, views as V
 from codemix.streaming import ingest as I
 
-# The registered query grows a smaller forest than the default, on all rows.
-CHECK_TREES, CHECK_DEPTH = 10, 5
+# The registered forest has all its trees at full depth, grown on about so many rows.
+FOREST_ROWS = 2_000
 
 
 def comparable(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -59,7 +59,7 @@ def flatten_tokens(spark, sf):
 
 def json_roundtrip(spark, sf):
     path = shared_folder(spark, "json")
-    D.write_conversations(V.utterances(spark, sf), path)
+    D.write_conversations(V.utterances(spark, sf), path, V.conversations(spark, sf))
     back = D.flatten(D.read_conversations(spark, path))
     return back.select(
         *UTT, "conversation_id", "speaker", "text", "original_text", "tokens",
@@ -127,15 +127,27 @@ def assign_ids(spark, sf):
 
 def append_union(spark, sf):
     added = P.batch_utterances(_new_conversations(spark, sf)).drop("batch_id", "segment")
-    both = P.append_utterances(
-        V.utterances(spark, sf).drop("conv_pos"), added
-    )
+    both = P.append_utterances(V.utterances(spark, sf), added)
     return both.select(
         "conversation_id", "utt_idx", "speaker", "text", "tokens",
         F.col("pos_tags").isNull().alias("no_pos_tags"), *PROFILE, "strategy", "topic",
     )
 
 
+def append_export(spark, sf):
+    """Existing, single-answer and batch conversations in one export, ids without gaps."""
+    existing = V.utterances(spark, sf)
+    single = P.assign_response_ids(P.parse_responses(V.responses(spark, sf)), V.conversations(spark, sf))
+    single = written(single, "single")
+    taken = V.conversations(spark, sf).select("conversation_id", "conv_pos").unionByName(
+        single.select("conversation_id", "conv_pos")
+    )
+    batch = P.assign_conversation_ids(P.batch_conversations(V.batches(spark, sf)), taken)
+    batch = P.batch_utterances(batch).drop("batch_id", "segment")
+    both = P.append_utterances(P.append_utterances(existing, single.drop("response_id")), batch)
+    return E.export_flat(written(both, "appended"))
+
+
 # ---- tagging --------------------------------------------------------------
 
 def tokenize(spark, sf):
@@ -361,7 +373,8 @@ def vocab_topk(spark, sf):
 
 def _weights(spark, sf):
     examples = _examples_table(spark, sf)
-    events = X.term_events(examples)
+    # every later pass reads the terms, none splits the texts again
+    events = written(X.term_events(examples), "events")
     return events, X.idf_weights(events, X.vocabulary(events), X.count_prefixes(examples))
 
 
@@ -381,13 +394,17 @@ def tfidf_mass(spark, sf):
     return X.term_mass(*_weights(spark, sf))
 
 
+def _split(spark, sf):
+    pairs = X.hashed(X.switch_pairs(_examples(spark, sf)), models.KEY)
+    return X.stratified_split(written(pairs, "pairs"), models.KEY)
+
+
 def stratified_split(spark, sf):
-    return X.stratified_split(X.switch_pairs(_examples_table(spark, sf)), models.KEY)
+    return _split(spark, sf)
 
 
 def class_weights(spark, sf):
-    split = X.stratified_split(X.switch_pairs(_examples_table(spark, sf)), models.KEY)
-    return X.class_weights(split.filter(~F.col("is_test")))
+    return X.class_weights(_split(spark, sf).filter(~F.col("is_test")))
 
 
 def logreg_eval(spark, sf):
@@ -395,7 +412,7 @@ def logreg_eval(spark, sf):
 
 
 def forest_eval(spark, sf):
-    return models.forest_eval(V.utterances(spark, sf), CHECK_TREES, CHECK_DEPTH)
+    return models.forest_eval(V.utterances(spark, sf), max_training_rows=FOREST_ROWS)
 
 
 # ---- planning and streaming ----------------------------------------------
@@ -432,8 +449,8 @@ def plan_batches(spark, sf):
 
 def _stream(spark, sf, table):
     path = f"{sf}/{table}.parquet"
-    # A stream's path has to be a folder or a pattern.
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    # A stream's path has to be a folder or a pattern; this one matches the path alone.
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def stream_ingest(spark, sf):
@@ -464,6 +481,7 @@ _QUERIES = {
     "parse_batch": parse_batch,
     "assign_ids": assign_ids,
     "append_union": append_union,
+    "append_export": append_export,
     "tokenize": tokenize,
     "tag_forced": tag_forced,
     "tag_mixed": tag_mixed,

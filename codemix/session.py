@@ -23,6 +23,23 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return os.path.join(base, f"codemix-{purpose}-{uuid.uuid4().hex}")
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it knows it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, place = _files(spark, path)
+    return files.exists(place)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this library has written."""
+    files, place = _files(spark, path)
+    files.delete(place, True)
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 

@@ -45,10 +45,20 @@ def document_conversations(document: DataFrame) -> DataFrame:
     )
 
 
+def headers(conversations: DataFrame) -> DataFrame:
+    """One row per conversation: of one that goes on in further lines only the first."""
+    if "part" not in conversations.columns:
+        return conversations
+    return conversations.filter(F.coalesce("part", F.lit(0)) == 0)
+
+
 def flatten(conversations: DataFrame) -> DataFrame:
-    """Utterance rows in canonical form; `utt_idx` is the place in the conversation."""
+    """Utterance rows in canonical form; `utt_idx` is the place in the conversation.
+
+    Lines of other writers have no `part`: each is a whole conversation.
+    """
     return conversations.select(
-        "conv_pos", "part", "conversation_id", "strategy", "topic",
+        "conv_pos", F.coalesce("part", F.lit(0)).alias("part"), "conversation_id", "strategy", "topic",
         F.posexplode("utterances").alias("place", "u"),
     ).select(
         "conv_pos", "conversation_id",
@@ -90,9 +100,20 @@ def nest(utterances: DataFrame) -> DataFrame:
     )
 
 
-def write_conversations(utterances: DataFrame, path: str) -> None:
-    """JSON lines, UTF-8, non-ASCII characters kept."""
-    nest(utterances).write.mode("overwrite").json(path)
+def write_conversations(utterances: DataFrame, path: str, conversations: DataFrame | None = None) -> None:
+    """JSON lines, UTF-8, non-ASCII characters kept.
+
+    `conversations` has the headers; those without any utterance get a line too.
+    """
+    lines = nest(utterances)
+    if conversations is not None:
+        header = headers(conversations).select("conv_pos", "conversation_id", "strategy", "topic")
+        empty = header.join(utterances.select("conv_pos").distinct(), "conv_pos", "left_anti")
+        none = F.array().cast(lines.schema["utterances"].dataType)
+        lines = lines.unionByName(
+            empty.withColumns({"part": F.lit(0).cast("bigint"), "utterances": none})
+        )
+    lines.write.mode("overwrite").json(path)
 
 
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:
@@ -109,14 +130,18 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_export(export: DataFrame, path: str) -> None:
-    """CSV with header, quotes only where needed and doubled inside."""
-    export.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+    """CSV with header, quotes only where needed and doubled inside; blanks at edges stay."""
+    export.write.mode("overwrite").csv(
+        path, header=True, escape='"', emptyValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
     """Empty cells come back as NULL."""
     return spark.read.csv(
-        path, schema=schema.EXPORT, header=True, multiLine=True, escape='"'
+        path, schema=schema.EXPORT, header=True, multiLine=True, escape='"',
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
     )
 
 

@@ -4,35 +4,76 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from codemix.functions import tagging as G
 from codemix.operators.parse import parse_responses
-from codemix.operators.stats import topup_from
-from codemix.session import with_computed
+from codemix.operators.stats import cs_rate_flag, dataset_totals, topup_from
+from codemix.session import exists, remove, with_computed
 
 
-def start_ingest(responses: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+ALL_THERE_IS = {"availableNow": True}
+
+
+def _stored(spark: SparkSession, sink: str) -> DataFrame | None:
+    return spark.read.parquet(sink) if exists(spark, sink) else None
+
+
+def totals(sink: DataFrame) -> DataFrame:
+    """Totals of the stored answers, with the time of the count."""
+    return dataset_totals(sink.select("response_id").distinct(), sink)
+
+
+def needed(sink: DataFrame, target: float) -> int:
+    """Conversations that the stored answers still need for the target rate."""
+    return topup_from(cs_rate_flag(sink), target).first().needed_conversations
+
+
+def start_ingest(
+    responses: DataFrame, sink: str, checkpoint: str, totals_path: str | None = None,
+    target: float | None = None, trigger: dict = ALL_THERE_IS,
+) -> StreamingQuery:
     """Parse every micro-batch of answers and append its utterances to `sink`.
 
-    An answer is one row, so it is never split across micro-batches. Each
-    micro-batch owns one subfolder and replaces it when it is run again after
-    a failure: every answer ends up in the sink exactly once.
+    Exactly once by `response_id`: an answer that is delivered again, in the same or a later
+    micro-batch, is not stored again, and a micro-batch that is run again after a
+    failure replaces its own subfolder. Of answers with one id in a micro-batch any one
+    counts. With `totals_path` the totals are saved after every micro-batch; with `target`
+    nothing more is stored once the switch rate has come down to it.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        parse_responses(batch).write.mode("overwrite").parquet(
-            os.path.join(sink, f"ingest={batch_id}")
-        )
+        spark = batch.sparkSession
+        stored = _stored(spark, sink)
+        new = batch.dropDuplicates(["response_id"])
+        if stored is not None:
+            earlier = stored.filter(F.col("ingest") != batch_id)
+            if target is not None and not earlier.isEmpty() and needed(earlier, target) == 0:
+                return
+            new = new.join(earlier.select("response_id").distinct(), "response_id", "left_anti")
+        parse_responses(new).write.mode("overwrite").parquet(os.path.join(sink, f"ingest={batch_id}"))
+        if totals_path is not None:
+            totals(spark.read.parquet(sink)).coalesce(1).write.mode("overwrite").json(totals_path)
 
     return (
         responses.writeStream.foreachBatch(append)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 
+def ingest_until(
+    responses: DataFrame, sink: str, checkpoint: str, target: float, seconds: float = 5.0, **options
+) -> None:
+    """Store answers until the target rate is reached or the stream ends; then stop it."""
+    query = start_ingest(responses, sink, checkpoint, target=target, **options)
+    spark = responses.sparkSession
+    while not query.awaitTermination(seconds):
+        stored = _stored(spark, sink)
+        if stored is not None and not stored.isEmpty() and needed(stored, target) == 0:
+            query.stop()
+
+
 def rate_of(texts: DataFrame) -> DataFrame:
     """Running counts and switch rate of tagged texts; works on batch and stream."""
     tagged = with_computed(texts, tagged_tokens=G.tag(F.col("text")))
@@ -45,16 +86,26 @@ def rate_of(texts: DataFrame) -> DataFrame:
     )
 
 
-def start_rate(texts: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Keep the running rate: one row, written again after every micro-batch."""
+def start_rate(
+    texts: DataFrame, sink: str, checkpoint: str, trigger: dict = ALL_THERE_IS
+) -> StreamingQuery:
+    """Keep the running rate: one row, written again after every micro-batch.
+
+    The earlier row goes once the new one is there; a reader may see both.
+    """
 
     def keep(row: DataFrame, batch_id: int) -> None:
+        spark = row.sparkSession
+        before = _stored(spark, sink)
         row.coalesce(1).write.mode("overwrite").parquet(os.path.join(sink, f"after={batch_id}"))
+        if before is not None:
+            for r in before.select("after").distinct().collect():  # one, or two after a failure
+                if r.after != batch_id:
+                    remove(spark, os.path.join(sink, f"after={r.after}"))
 
     return (
         rate_of(texts).writeStream.outputMode("complete").foreachBatch(keep)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .option("checkpointLocation", checkpoint).trigger(**trigger).start()
     )
 
 

@@ -100,6 +100,72 @@ def test_long_conversations_go_on_in_further_lines(spark, tmp_path):
     assert back.select(u.columns).exceptAll(u).count() == 0 and back.count() == n
 
 
+def test_a_long_conversation_counts_once(spark, tmp_path):
+    one = spark.range(9000).select(
+        F.lit(9).cast("bigint").alias("conv_pos"), F.lit(1).cast("bigint").alias("conversation_id"),
+        F.col("id").cast("int").alias("utt_idx"), F.lit("Speaker A").alias("speaker"),
+        F.lit("t").alias("text"), F.lit("t").alias("original_text"), F.lit(1).alias("tokens"),
+        F.array(F.struct(F.lit("t").alias("token"), F.lit("es").alias("lang"))).alias("tagged_tokens"),
+        F.array(F.lit("t")).alias("tokens_list"), F.array(F.lit("NN")).alias("pos_tags"),
+        F.lit("no").alias("has_code_switch"), F.lit(100.0).alias("spanish_percentage"),
+        F.lit("monolingual_spanish").alias("strategy"), F.lit("t").alias("topic"),
+    )
+    D.write_conversations(one, str(tmp_path / "lines"))
+    back = D.read_conversations(spark, str(tmp_path / "lines"))
+    assert back.count() == 3
+    assert [tuple(r) for r in E.strategy_counts(back).collect()] == [("monolingual_spanish", 1)]
+    assert A.dataset_totals(back, D.flatten(back)).first().total_conversations == 1
+    row = R.repair_provenance(back, D.flatten(back)).first()
+    assert (row.conversations_fixed, row.utterances_fixed) == (1, 9000)
+
+
+def test_empty_conversations_are_written(spark, document, tmp_path):
+    conversations = D.document_conversations(document)
+    D.write_conversations(D.flatten(conversations), str(tmp_path / "lines"), conversations)
+    back = D.read_conversations(spark, str(tmp_path / "lines"))
+    assert [tuple(r) for r in E.strategy_counts(back).collect()] == [("minimal_switch", 1), ("unknown", 2)]
+    assert D.flatten(back).count() == 3
+    assert {(r.conversation_id, r.topic) for r in back.collect()} == {(3, "movie night"), (4, "work meeting"), (None, None)}
+
+
+def test_lines_of_other_writers_have_no_part(spark, tmp_path):
+    line = {"conv_pos": 1, "conversation_id": 1, "utterances": [{"text": "a"}, {"text": "b"}]}
+    (tmp_path / "x.json").write_text(json.dumps(line))
+    back = D.read_conversations(spark, str(tmp_path / "x.json"))
+    assert sorted(r.utt_idx for r in D.flatten(back).collect()) == [0, 1]
+    assert [tuple(r) for r in E.strategy_counts(back).collect()] == [("unknown", 1)]
+
+
+def test_csv_keeps_blanks_at_edges(spark, document, tmp_path):
+    export = E.export_flat(D.flatten(D.document_conversations(document)))
+    export = export.withColumn("utterance", F.lit("  lead and trail  ")).withColumn("topic", F.lit(" t"))
+    D.write_export(export, str(tmp_path / "csv"))
+    rows = D.read_export(spark, str(tmp_path / "csv")).collect()
+    assert {(r.utterance, r.topic) for r in rows} == {("  lead and trail  ", " t")}
+
+
+def test_append_and_export_lose_no_row(spark, document):
+    existing = D.flatten(D.document_conversations(document))
+    single = spark.createDataFrame(
+        [(70, 0, "x"), (70, 1, "y"), (8, 0, "z")], "response_id long, utt_idx int, text string"
+    )
+    headers = D.document_conversations(document).select("conversation_id", "conv_pos")
+    single = P.assign_response_ids(single, headers)
+    batch = P.assign_conversation_ids(
+        spark.createDataFrame([(4, 1), (4, 2)], "batch_id long, segment int"),
+        headers.unionByName(single.select("conversation_id", "conv_pos")),
+    )
+    rows = batch.crossJoin(spark.range(2)).select(
+        "conv_pos", "conversation_id", F.col("id").cast("int").alias("utt_idx"), F.lit("b").alias("text")
+    )
+    both = P.append_utterances(P.append_utterances(existing, single.drop("response_id")), rows)
+    out = E.export_flat(both).orderBy("id").collect()
+    assert both.count() == 10 and [r.id for r in out] == list(range(10))
+    assert [r.conversation_id for r in out] == [3, 3, 0, 5, 6, 6, 7, 7, 8, 8]
+    with pytest.raises(Exception, match="NULL"):
+        E.export_flat(both.withColumn("conv_pos", F.lit(None).cast("bigint"))).collect()
+
+
 def test_first_conversation_is_chosen_even_without_utterances(spark, document):
     conversations = D.document_conversations(document).select(
         "conv_pos", "conversation_id", F.lit("minimal_switch").alias("strategy")

@@ -51,6 +51,25 @@ def test_tests_of_nothing(spark, nothing):
     assert M.classification_report(none).count() == 5
 
 
+def test_rank_sums_of_billions_of_rows(spark):
+    ranked = spark.createDataFrame(
+        [(4 * 10**9, 0, 4 * 10**9, 0), (0, 4 * 10**9, 4 * 10**9, 4 * 10**9)],
+        "n_no long, n_yes long, n long, before long",
+    )
+    row = A.rank_test(ranked).first()
+    assert row.u == 0 and row.z > 1e4 and row.p_value == 0.0
+
+
+def test_keys_of_scores_never_decrease(spark):
+    import random
+
+    rng = random.Random(1)
+    scores = sorted([0.0, 5e-324, 1e-320, 1.0] + [rng.random() * 10.0 ** -rng.randint(0, 320) for _ in range(3000)])
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "i int, score double")
+    keys = [r.k for r in rows.select("i", M.score_key(F.col("score")).alias("k")).orderBy("i").collect()]
+    assert keys == sorted(keys) and len(set(keys)) > 2900
+
+
 def test_rank_test_of_equal_lengths(spark):
     df = spark.createDataFrame([("no", 4), ("no", 4), ("yes", 4)], "has_code_switch string, token_count int")
     row = A.mann_whitney(df).first()

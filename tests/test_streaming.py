@@ -51,6 +51,42 @@ def test_replayed_batch_replaces_its_rows(spark, small, tmp_path):
     assert spark.read.parquet(sink).count() == expected.count()
 
 
+def test_answers_delivered_again_change_nothing(spark, small, tmp_path):
+    docs = documents(spark, small)
+    inbox, sink, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
+
+    def run():
+        stream = spark.readStream.schema(docs.schema).parquet(str(inbox))
+        I.start_ingest(
+            V.responses_of(stream), sink, checkpoint, totals_path=str(tmp_path / "totals")
+        ).awaitTermination()
+        return spark.read.json(str(tmp_path / "totals")).first()
+
+    arrive(docs, inbox, 0, 2)
+    first = run()
+    arrive(docs, inbox, 0, 2)
+    arrive(docs, inbox, 0, 2)
+    second = run()
+    expected = parse_responses(V.responses_of(docs.filter("doc_id % 2 = 0")))
+    assert spark.read.parquet(sink).count() == expected.count() == first.total_utterances
+    assert (first.total_conversations, first.total_tokens) == (second.total_conversations, second.total_tokens)
+    assert first.total_conversations == expected.select("response_id").distinct().count()
+    assert second.last_updated > first.last_updated
+
+
+def test_the_stream_ends_at_the_target(spark, small, tmp_path):
+    docs = documents(spark, small)
+    for part in range(4):
+        arrive(docs.coalesce(1), tmp_path / "in", part, 4)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    sink = str(tmp_path / "out")
+    # any rate is at or below this target, so the first micro-batch reaches it
+    I.ingest_until(V.responses_of(stream), sink, str(tmp_path / "check"), target=1.0, seconds=1.0)
+    stored = spark.read.parquet(sink)
+    assert [r.ingest for r in stored.select("ingest").distinct().collect()] == [0]
+    assert I.needed(stored, 1.0) == 0
+
+
 def test_running_rate_ends_at_the_batch_answer(spark, small, tmp_path):
     turns = spark.read.parquet(f"{small}/conversations.parquet").withColumn("doc_id", F.col("conv_id"))
     inbox = tmp_path / "in"
@@ -60,7 +96,7 @@ def test_running_rate_ends_at_the_batch_answer(spark, small, tmp_path):
     sink = str(tmp_path / "rate")
     I.start_rate(stream, sink, str(tmp_path / "check")).awaitTermination()
     rates = spark.read.parquet(sink)
-    assert rates.count() > 1
+    assert rates.count() == 1  # earlier rows are gone
     assert I.latest(rates).collect() == I.rate_of(turns).collect()
     needed = I.still_needed(I.latest(rates), 0.25).first().needed_conversations
     assert needed >= 0
