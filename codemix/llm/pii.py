@@ -6,7 +6,7 @@ other scripts' digits to ASCII, invisible characters to nothing, spelled digits
 to digits, and disguises of @ and . to these. Every character of the rewritten
 text knows the span of the source that it stands for, so that what the same patterns
 find there is mapped back to source offsets. Such a span is added when it doesn't
-overlap a plain one. Offsets count code points, ends are exclusive.
+overlap a plain one. Linear-time patterns tell beforehand which searches a text needs. Offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from functools import lru_cache
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from codemix.llm.common import bounded_batches
@@ -65,11 +67,19 @@ def _is_phone(match: str) -> bool:
     return 8 <= sum(c.isdigit() for c in match) <= 15
 
 
-def plain_spans(text: str) -> list[Span]:
-    """Identifiers in plain sight, by kind and start. A failing match isn't tried again."""
+def plain_spans(text: str, hints: dict[str, bool] | None = None) -> list[Span]:
+    """Identifiers in plain sight, by kind and start. A failing match isn't tried again.
+
+    ``hints`` name the searches that can't find anything.
+    """
+    hints = hints or {}
     found = _emails(text)
-    for kind, pattern, valid in (("ip", _IP, _is_ip), ("card", _CARD, _is_card), ("phone", _PHONE, _is_phone)):
-        found += [(kind, *m.span()) for m in pattern.finditer(text) if valid(m[0])]
+    if hints.get("ip", True):
+        found += [("ip", *m.span()) for m in _IP.finditer(text) if _is_ip(m[0])]
+    if hints.get("card", True):
+        found += [("card", *m.span()) for m in _CARD.finditer(text) if _is_card(m[0])]
+    if "+" in text:
+        found += [("phone", *m.span()) for m in _PHONE.finditer(text) if _is_phone(m[0])]
     return found
 
 
@@ -89,25 +99,22 @@ _DIGITS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight
 
 
 @lru_cache(maxsize=1)
-def _character_map() -> dict[str, str]:
+def _characters() -> dict[int, str]:
     """What single characters become: compatibility forms of ASCII, digits, lookalikes."""
     table = {}
     for point in range(0x80, 0x20000):
         c = chr(point)
         if unicodedata.category(c) == "Nd":
-            table[c] = str(unicodedata.decimal(c))
+            table[point] = str(unicodedata.decimal(c))
         else:
             plain = unicodedata.normalize("NFKC", c)
             if len(plain) == 1 and " " <= plain <= "~":
-                table[c] = plain
-    table.update({c: ascii_one for ascii_one, others in _LOOKALIKES.items() for c in others})
-    table.update(dict.fromkeys(_INVISIBLE, ""))
+                table[point] = plain
+    table.update({ord(c): ascii_one for ascii_one, others in _LOOKALIKES.items() for c in others})
     return table
 
 
-@lru_cache(maxsize=1)
-def _character_class() -> re.Pattern:
-    return re.compile("[" + "".join(map(re.escape, sorted(_character_map()))) + "]")
+_INVISIBLE_ONES = re.compile(f"[{_INVISIBLE}]")
 
 
 _DIGIT = "(?:" + "|".join(_DIGITS) + ")"
@@ -123,6 +130,32 @@ _RULES = re.compile(
     rf"|(?P<digits>(?<![a-z0-9])(?:plus{_BLANKS})?{_DIGIT}(?:[\s,-]{{1,3}}{_DIGIT})+(?![a-z0-9]))",
     re.IGNORECASE,
 )
+_RE2_BLANK = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
+
+
+@lru_cache(maxsize=1)
+def _hints() -> dict[str, str]:
+    """Patterns for Arrow's regular expressions, which take linear time. Where one has no
+    match, the search of that name has none either."""
+    strange = "".join(rf"\x{{{ord(c):x}}}" for c in sorted(map(chr, _characters()))) + "".join(
+        rf"\x{{{ord(c):x}}}" for c in _INVISIBLE + "\u0130"
+    )
+    return {
+        "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]",
+        "card": r"[0-9](?:[ -]?[0-9]){15}",
+        "strange": f"[{strange}]",
+        "rules": rf"(?i)[\[({{<]{_RE2_BLANK}{{0,3}}(?:at|@|dot|\.)|{_RE2_BLANK}dot{_RE2_BLANK}"
+                 rf"|{_DIGIT}(?:{_RE2_BLANK}|[,-]){{1,3}}{_DIGIT}",
+    }
+
+
+def hints_of(texts: list[str]) -> list[dict[str, bool]]:
+    """For each text which searches may find something."""
+    batch = pa.array(texts, pa.large_string())
+    columns = {k: pc.match_substring_regex(batch, p).to_pylist() for k, p in _hints().items()}
+    return [dict(zip(columns, row)) for row in zip(*columns.values())]
+
+
 _WORD = re.compile(rf"plus|{_DIGIT}", re.IGNORECASE)
 
 
@@ -165,21 +198,26 @@ def _disguise(m: re.Match) -> list[tuple[str, int, int]]:
     return words
 
 
-def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
+def disguised_spans(text: str, plain: list[Span], hints: dict[str, bool]) -> list[Span]:
     """Identifiers that only the rewritten text shows, at source offsets."""
-    rewritten = _Rewritten(text)
-    table = _character_map()
-    changed = not text.isascii() and rewritten.rewrite(
-        _character_class(), lambda m: [(table[m[0]], *m.span())]
-    )
-    changed |= rewritten.rewrite(_RULES, _disguise)
+    if not hints["strange"] and not hints["rules"]:
+        return []
+    # one character for another moves nothing
+    rewritten = _Rewritten(text.translate(_characters()) if hints["strange"] else text)
+    changed = rewritten.text != text
+    if hints["strange"]:
+        changed |= rewritten.rewrite(_INVISIBLE_ONES, lambda m: [])
+        hints = hints_of([rewritten.text])[0]
+    if hints["rules"]:
+        changed |= rewritten.rewrite(_RULES, _disguise)
+        hints = hints_of([rewritten.text])[0]
     if not changed:
         return []
     # plain spans by start, and the farthest end up to each
     taken = sorted((a, b) for _, a, b in plain)
     reach = list(accumulate((b for _, b in taken), max))
     added = []
-    for kind, a, b in plain_spans(rewritten.text):
+    for kind, a, b in plain_spans(rewritten.text, hints):
         start, end = rewritten.starts[a], rewritten.ends[b - 1]
         before = bisect_left(taken, (end, 0))
         if not before or reach[before - 1] <= start:
@@ -187,23 +225,32 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     return added
 
 
+def spans_of(texts) -> list[tuple[list[Span], list[Span]]]:
+    """For each text the plain spans, and these with the disguised ones; both by kind as
+    listed, then start. Null texts are empty."""
+    texts = [t or "" for t in texts]
+    out = []
+    for text, hints in zip(texts, hints_of(texts)):
+        plain = plain_spans(text, hints)
+        added = disguised_spans(text, plain, hints)
+        out.append((plain, sorted(plain + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))))
+    return out
+
+
 def all_spans(text: str | None) -> tuple[list[Span], list[Span]]:
-    """Plain spans, and these with the disguised ones; both by kind as listed, then start."""
-    plain = plain_spans(text or "")
-    added = disguised_spans(text or "", plain)
-    return plain, sorted(plain + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+    return spans_of([text])[0]
 
 
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
 
 
-def redacted(text: str | None) -> str | None:
+def redacted(text: str | None, spans: list[Span] | None = None) -> str | None:
     """The text with each identifier replaced by its kind; overlapping ones go together."""
     if text is None:
         return None
     out, last, end_of_last = [], 0, -1
-    for start, end, kind in sorted((a, b, k) for k, a, b in all_spans(text)[1]):
+    for start, end, kind in sorted((a, b, k) for k, a, b in (all_spans(text)[1] if spans is None else spans)):
         if start >= end_of_last:
             out += [text[last:start], f"[{kind.upper()}]"]
         last = end_of_last = max(end, end_of_last)
@@ -224,8 +271,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     @F.pandas_udf("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
     def scanned(texts: pd.Series) -> pd.DataFrame:
         rows = []
-        for text in texts:
-            plain, every = all_spans(text)
+        for plain, every in spans_of(texts):
             kinds = [kind for kind, _, _ in plain]
             rows.append((
                 *map(kinds.count, KINDS), hashlib.sha256(joined(plain).encode()).hexdigest(), joined(every),
@@ -241,6 +287,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("string")
     def replaced(texts: pd.Series) -> pd.Series:
-        return pd.Series([redacted(t) for t in texts], dtype=object)
+        found = [every for _, every in spans_of(texts)]
+        return pd.Series([redacted(t, spans) for t, spans in zip(texts, found)], dtype=object)
 
     return df.withColumn(text_col, replaced(F.col(text_col)))
