@@ -12,7 +12,17 @@ import numpy as np
 #: Integers per word and bits of each, by selector.
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
-_POWERS = np.array([1 << b for b in range(64)], np.uint64)
+#: Windows of so many integers are made of two shorter ones: (length, shorter, shift).
+_WINDOWS = [
+    (2, 1, 1), (3, 2, 1), (4, 2, 2), (5, 4, 1), (6, 4, 2), (7, 4, 3), (8, 4, 4), (10, 8, 2), (12, 8, 4), (15, 8, 7),
+    (20, 12, 8), (30, 15, 15), (60, 30, 30), (120, 60, 60),
+]
+
+
+def _bits(values: np.ndarray) -> np.ndarray:
+    """The number of bits of each integer, one too many for some above 2^53."""
+    exponent = (values.astype(np.float64).view(np.int64) >> 52) - 1022
+    return np.maximum(exponent, 0).astype(np.uint8)
 
 
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -20,23 +30,23 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     filled up with zeros."""
     values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
-    width = np.searchsorted(_POWERS, values, side="right")
-    place = np.arange(n)
-    selector = np.zeros(n, np.int64)  # an escape, unless the integer fits a word
-    for s in range(15, 0, -1):
-        # how far from each integer all fit the selector's width; behind the end they do
-        wide = np.where(width > WIDTHS[s], place, n + int(COUNTS[1]))
-        fits = np.minimum.accumulate(wide[::-1])[::-1] - place >= COUNTS[s]
-        if not fits.any():
-            break
-        selector[fits] = s
+    # the most bits in the window of each length from each integer on; zeros behind the end
+    longest = int(COUNTS[1])
+    widest = {1: np.r_[_bits(values), np.zeros(longest, np.uint8)]}
+    selector = np.zeros(n, np.uint8)  # an escape, unless the integer fits a word
+    selector[widest[1][:n] <= WIDTHS[15]] = 15
+    for s, (length, shorter, shift) in zip(range(14, 0, -1), _WINDOWS):
+        window = widest[shorter].copy()
+        np.maximum(window[:-shift], widest[shorter][shift:], out=window[:-shift])
+        widest[length] = window
+        np.copyto(selector, s, where=window[:n] <= WIDTHS[s])
     steps = COUNTS[selector].tolist()
     starts, at = [], 0
     while at < n:
         starts.append(at)
         at += steps[at]
     starts = np.array(starts, np.int64)
-    chosen = selector[starts]
+    chosen = selector[starts].astype(np.int64)
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.r_[values, np.zeros(int(COUNTS[1]), np.uint64)]
     for s in range(2, 16):

@@ -7,18 +7,19 @@ is a sequence of blocks, each with the ids, null marks and token counts of its d
 and the Simple-8b words of their tokens, and a footer with the offset of every block. A
 manifest has the number of tokens of each file.
 
-The library's pre-tokens don't depend on each other, so that each distinct one of a
-batch is encoded once. Texts are cut into pre-tokens by the tokenizer's own pattern;
-texts with characters outside Latin, where Unicode tables of two libraries might
-differ, and texts with the string of a special token go to the library whole.
+The tokenizer's pattern never makes a token of both sides of a blank between two other
+characters, so that texts are cut in front of such blanks and each distinct part of a
+batch is encoded once. Texts with the string of a special token, or with one of the few
+characters that Python alone takes for white space, go to the library whole.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,13 +37,12 @@ MAGIC = b"S8BTOK01"
 #: A block is closed at so many tokens, a file at so many bytes.
 BLOCK_TOKENS = 1 << 18
 FILE_BYTES = 64 << 20
-#: Encoded pre-tokens that a Python worker keeps.
-CACHED = 300_000
+#: Encoded parts that a Python worker keeps, about 200 bytes each.
+CACHED = 700_000
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-#: The pre-token pattern for texts in which no white space follows white space.
-_PLAIN = (
-    rf"('s|'t|'re|'ve|'m|'ll|'d| ?\pL+| ?\pN+| ?[^{_SPACE}\pL\pN]+|[{_SPACE}])"
-)
+#: Parts of a text with longer white space: of a run before a word, the pattern leaves its
+#: last character, and if that is a blank the word takes it.
+_PARTS = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 
 
 @lru_cache(maxsize=2)
@@ -61,43 +61,61 @@ class Encoder:
     def __init__(self, path: str):
         import json
 
-        import regex
-
         self.library = _tokenizer(path)
         spec = json.loads(self.library.to_str())
         step = spec["pre_tokenizer"]
         if spec["normalizer"] or step["type"] != "ByteLevel" or step["add_prefix_space"] or not step["use_regex"]:
             raise ValueError("only byte-level tokenizers with the usual pattern are known here")
         self.special = [t["content"] for t in spec["added_tokens"]]
-        # the pattern that byte-level tokenizers use
-        self.pattern = regex.compile(
-            r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        )
-        self.known: dict[str, tuple[int, ...]] = {}
+        # a byte-level token has one character for each byte
+        vocabulary = self.library.get_vocab()
+        self.byte_lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.byte_lengths[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        self.known: dict[str, bytes] = {}
 
     def _learn(self, parts: list[str]) -> None:
         new = [p for p in parts if p not in self.known]
         if len(self.known) + len(new) > CACHED:
             self.known = {p: self.known[p] for p in parts if p in self.known}
-        for begin in range(0, len(new), 1 << 14):
-            some = new[begin:begin + (1 << 14)]
-            for part, encoded in zip(some, self.library.encode_batch(some, add_special_tokens=False)):
-                self.known[part] = tuple(encoded.ids)
+        # words with a blank in front stay apart when they are joined
+        joinable = [len(p) > 1 and p[0] == " " and not p[1].isspace() and not p[-1].isspace() for p in new]
+        words_ = [p for p, joins in zip(new, joinable) if joins]
+        for begin in range(0, len(words_), 1 << 15):
+            self._learn_words(words_[begin:begin + (1 << 15)])
+        rest = [p for p, joins in zip(new, joinable) if not joins]
+        for part, encoded in zip(rest, self.library.encode_batch(rest, add_special_tokens=False)):
+            self.known[part] = array("i", encoded.ids).tobytes()
+
+    def _learn_words(self, some: list[str]) -> None:
+        """Encode many words as a few texts; a token's bytes tell where each word ends."""
+        texts = ["".join(some[i:i + 256]) for i in range(0, len(some), 256)]
+        encoded = self.library.encode_batch(texts, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, np.int32) for e in encoded])
+        reached = np.cumsum(self.byte_lengths[ids])
+        ends = np.cumsum([len(p.encode()) for p in some])
+        last = np.searchsorted(reached, ends)
+        if last[-1] != len(ids) - 1 or (reached[last] != ends).any():
+            raise ValueError("the tokenizer makes tokens across blanks")
+        raw, at = ids.tobytes(), 0
+        for part, end in zip(some, (4 * (last + 1)).tolist()):
+            self.known[part], at = raw[at:end], end
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        self._learn(parts)
+        return [self.known[p] for p in parts]
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; none for null texts."""
         texts = pc.fill_null(texts, "")
-        whole = pc.match_substring_regex(texts, r"[^\x00-\x{24f}]")
+        whole = pc.match_substring_regex(texts, r"[\x1c-\x1f]")
         for special in self.special:
             whole = pc.or_(whole, pc.match_substring(texts, special))
-        odd = pc.or_(whole, pc.match_substring_regex(texts, rf"[{_SPACE}][{_SPACE}]|[\x01\x1c-\x1f]"))
-        lists = words.split(pc.replace_substring_regex(pc.if_else(odd, "", texts), _PLAIN, "\x01\\1"), "\x01")
+        odd = pc.or_(whole, pc.match_substring_regex(texts, rf"[{_SPACE}][{_SPACE}]|\x01"))
+        lists = words.split(pc.replace_substring(pc.if_else(odd, "", texts), " ", "\x01 "), "\x01")
         offsets, codes, distinct = words.distinct_parts(lists)
-        parts = distinct.to_pylist()
-        self._learn(parts)
-        found = [self.known[p] for p in parts]
-        ends = np.cumsum([0, *map(len, found)])
-        flat, counts = words.ragged(codes, ends, np.fromiter(chain.from_iterable(found), np.int64, ends[-1]))
+        found = self._ids(words.strings(distinct))
+        ends = np.cumsum([0, *map(len, found)]) // 4
+        flat, counts = words.ragged(codes, ends, np.frombuffer(b"".join(found), np.int32))
         bounds = np.r_[0, np.cumsum(counts)][offsets]
         out = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
@@ -105,13 +123,19 @@ class Encoder:
             if whole[i].as_py():
                 ids = self.library.encode(text, add_special_tokens=False).ids
             else:
-                cut = self.pattern.findall(text)
-                self._learn(list(dict.fromkeys(cut)))
-                ids = list(chain.from_iterable(self.known[p] for p in cut))
-            out[i] = np.array(ids, np.int64)
+                cut = _PARTS.findall(text)
+                found = dict(zip(distinct := list(dict.fromkeys(cut)), self._ids(distinct)))
+                ids = np.frombuffer(b"".join([found[p] for p in cut]), np.int32)
+            out[i] = np.array(ids, np.int32)
         return out
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """A Python worker's encoder, which keeps what it has met from one task to the next."""
+    return Encoder(path)
+
+
 # ---- files ----------------------------------------------------------------
 
 def pack_block(ids: list[int | None], tokens: list[np.ndarray]) -> bytes:
@@ -181,7 +205,7 @@ def write(
     ordered = source.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
 
     def write_files(batches):
-        encoder = Encoder(path)
+        encoder = encoder_of(path)
         groups = _groups(batches, encoder, end)
         group, number, task = next(groups, None), 0, TaskContext.get().partitionId()
         while group:
