@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codemix.llm.common import ROW, keyed
+from codemix.llm.common import ROW, keyed, written
 
 ASSIGN = (
     r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -139,7 +139,8 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A null or empty text has no span, a null or repeated id or a repeated row
     keeps its own result, extra columns are ignored, an empty table gives none.
     """
-    found = _pattern_matches(df, id_col, text_col).repartition(F.col(ROW))
+    # stored, as several parts of the plan go on from it and the texts should be searched once
+    found = written(_pattern_matches(df, id_col, text_col), "secrets").repartition(F.col(ROW))
     running = Window.partitionBy(ROW, "kind").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
     placed = found.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(running)).withColumn(
         "start", F.col("end") - F.col("len")
