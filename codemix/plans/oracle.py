@@ -8,10 +8,30 @@ from __future__ import annotations
 
 import re
 
-from codemix.functions.tagging import SPANISH_LETTERS, SPANISH_WORDS, DETERMINERS, VERBS
-from codemix.operators import planning as H, repair as R
+from codemix.operators import planning as H
 from codemix.operators.prompts import BATCH_PROMPTS, STRATEGY_PROMPTS
-from codemix.sources.views import STRATEGIES
+
+# Fixed values, written out here as well so that a wrong one in the operators shows.
+SPANISH_LETTERS = "ñáéíóúü"
+SPANISH_WORDS = [
+    "el", "la", "los", "las", "un", "una", "de", "que", "y", "en", "por", "para", "con", "sin", "pero",
+    "cuando", "donde", "como", "está", "están", "estoy", "mi", "tu", "su", "qué", "así", "muy",
+]
+DETERMINERS = ["the", "a", "an", "el", "la", "los", "las"]
+VERBS = ["is", "are", "was", "were", "es", "está", "son"]
+CLEAN_PAIRS = [
+    ("<ES>", ""), ("</ES>", ""), ("bolsa<.", "bolsa."), ("huevos<", "huevos"), ("Vamos<.", "Vamos."),
+    ("<.", "."), ("< ", " "), (" >", " "), ("<", ""), (">", ""), ("ES¿", "¿"), ("ES¡", "¡"),
+]
+FINAL_TEXT_PAIRS = [
+    ("<ES>", ""), ("</ES>", ""), ("bolsa<", "bolsa"), ("huevos<", "huevos"), ("Vamos<", "Vamos"),
+    ("<.", "."), ("< ", " "),
+]
+CHECKED_STRATEGIES = ["monolingual_spanish", "monolingual_english", "minimal_switch"]
+STRATEGIES = [
+    "controlled_switch", "role_based", "topic_variation_casual", "back_translation",
+    "free_generation", "monolingual_english", "monolingual_spanish", "minimal_switch",
+]
 
 W = r"\p{L}\p{N}_"
 S = r"\t-\r\x1c-\x20\x85\p{Z}"
@@ -609,24 +629,24 @@ _FINAL = {
           {SHARE_OUT}, array_to_string(list_slice(string_split(tagged, ' '), 1, 10), ' ')
             AS tagged_tokens
         FROM (SELECT strategy, min(conv_pos) AS conv_pos FROM convs
-              WHERE strategy IN ({listed(R.CHECKED_STRATEGIES)}) GROUP BY strategy)
+              WHERE strategy IN ({listed(CHECKED_STRATEGIES)}) GROUP BY strategy)
         LEFT JOIN (SELECT * EXCLUDE (strategy) FROM fixed WHERE utt_idx = 0) USING (conv_pos)""",
     "clean_tags_text": f"""
-        SELECT conv_pos, utt_idx, text, {collapsed(replaced('text', R.CLEAN_PAIRS))} AS cleaned
+        SELECT conv_pos, utt_idx, text, {collapsed(replaced('text', CLEAN_PAIRS))} AS cleaned
         FROM utt""",
     "clean_tags_tokens": f"""
         SELECT conv_pos, utt_idx, tokens_list, tagged, tokens, has_code_switch, {SHARE_OUT}
         FROM cleaned""",
     "clean_tags_report": f"""
         SELECT count(*) AS utterances,
-          count(*) FILTER (text <> {collapsed(replaced('text', R.CLEAN_PAIRS))}) AS fixed,
+          count(*) FILTER (text <> {collapsed(replaced('text', CLEAN_PAIRS))}) AS fixed,
           count(*) FILTER (has_code_switch = 'yes') AS code_switched,
           {rate("count(*) FILTER (has_code_switch = 'yes')", 'count(*)')} AS cs_rate FROM cleaned""",
     "es_word_set": "SELECT conv_pos, utt_idx, array_to_string(set_words, ' ') AS words FROM word_sets",
     "retag_marks": f"""
         SELECT conv_pos, utt_idx, tagged, modified, has_code_switch, {SHARE_OUT} FROM retagged""",
     "retag_text": f"""
-        SELECT conv_pos, utt_idx, {collapsed(replaced('text', R.FINAL_TEXT_PAIRS))} AS text FROM utt""",
+        SELECT conv_pos, utt_idx, {collapsed(replaced('text', FINAL_TEXT_PAIRS))} AS text FROM utt""",
     "retag_report": """
         SELECT count(*) AS utterances, count(*) FILTER (modified) AS modified FROM retagged""",
     "retag_examples": f"""
