@@ -7,9 +7,10 @@ alphabet that hold a digit and a letter, go on character by character: the
 Shannon entropy of a window is log2(W) - S / W with S the sum of c * log2(c) over
 the counts c of its characters, and a step of the window changes S only by the
 character that enters and the one that leaves. Both counts come from a frame over
-equal characters, so a window costs the same whatever its length. A candidate is
-reported from its first to its last window above the threshold of its character
-class, unless the allow list names it or a pattern's match overlaps it.
+equal characters, so a window costs the same whatever its length. The class of
+characters, and with it the threshold, is that of the window: hex inside a section
+of hex digits, as behind a name, else base64. A candidate is reported from its first to its
+last window above the threshold, for each class, unless the allow list names it or a pattern's match overlaps it.
 
 Everything is made of DataFrame operations; windows run inside one document.
 """
@@ -30,8 +31,13 @@ _ALPHABET = "[A-Za-z0-9+/_=-]"
 CANDIDATE = rf"(?<!{_ALPHABET}){_ALPHABET}{{{WINDOW},}}"
 
 BASE_KINDS = ["assign", "access", "hex"]
-#: Added kinds with the class of characters they are made of and the least entropy in bits.
-CLASSES = {"entropy_hex": ("^[0-9A-Fa-f]+$", 2.8), "entropy_base64": (".", 3.75)}
+#: Added kinds with the sections of a candidate that their windows lie in and the least entropy in bits.
+CLASSES = {
+    "entropy_hex": (
+        rf"(?<![0-9A-Fa-f])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{{{WINDOW},}}", 2.8
+    ),
+    "entropy_base64": (".+", 3.75),
+}
 KINDS = [*BASE_KINDS, *CLASSES]
 #: Candidates that are no secrets: UUIDs, alphabets, placeholders, integrity hashes, paths and names.
 ALLOWED = [
@@ -94,20 +100,31 @@ def _weight(count: Column) -> Column:
     return F.when(count > 0, count * F.log2(count)).otherwise(F.lit(0.0))
 
 
+def _marks(value: Column, pattern: str) -> Column:
+    """For each character whether it is part of a match: x if so, a dot if not."""
+    parts = F.arrays_zip(
+        F.split(value, pattern, -1).alias("gap"),
+        F.regexp_extract_all(value, F.lit(pattern), F.lit(0)).alias("match"),
+    )
+    marks = F.transform(parts, lambda p: F.concat(
+        F.repeat(F.lit("."), F.char_length(p["gap"])),
+        F.repeat(F.lit("x"), F.coalesce(F.char_length(p["match"]), F.lit(0))),
+    ))
+    return F.split(F.array_join(marks, ""), "")
+
+
 def _entropy_spans(candidates: DataFrame) -> DataFrame:
-    """For each candidate the part covered by windows above its class's threshold."""
-    kind, least = F.lit(None).cast("string"), F.lit(None).cast("double")
-    for name, (pattern, bits) in reversed(CLASSES.items()):
-        fits = F.col("value").rlike(pattern)
-        kind, least = F.when(fits, F.lit(name)).otherwise(kind), F.when(fits, F.lit(bits)).otherwise(least)
+    """For each candidate and class the part covered by windows above the class's threshold."""
+    value = F.col("value")
     suspects = candidates.where(
-        F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]")
-        & ~F.col("value").rlike("|".join(f"(?:{p})" for p in ALLOWED))
+        value.rlike("[0-9]") & value.rlike("[A-Za-z]")
+        & ~value.rlike("|".join(f"(?:{p})" for p in ALLOWED))
     )
     characters = suspects.select(
-        ROW, "doc_id", "k", "start", kind.alias("kind"), least.alias("least"),
-        F.posexplode(F.split("value", "")).alias("i", "ch"),
-    )
+        ROW, "doc_id", "k", "start", F.posexplode(F.arrays_zip(
+            F.split(value, "").alias("ch"), _marks(value, CLASSES["entropy_hex"][0]).alias("hex"),
+        )).alias("i", "at"),
+    ).select(ROW, "doc_id", "k", "start", "i", F.col("at.ch").alias("ch"), (F.col("at.hex") == "x").alias("hex"))
     same = Window.partitionBy(ROW, "k", "ch").orderBy("i")
     entering = F.count("*").over(same.rangeBetween(1 - WINDOW, 0))
     leaving = F.count("*").over(same.rangeBetween(0, WINDOW - 1))
@@ -120,9 +137,14 @@ def _entropy_spans(candidates: DataFrame) -> DataFrame:
         F.sum("loss").over(along.rowsBetween(Window.unboundedPreceding, -WINDOW)), F.lit(0.0)
     )
     entropy = F.log2(F.lit(float(WINDOW))) - total / WINDOW
+    all_hex = F.min("hex").over(along.rowsBetween(1 - WINDOW, 0))
+    kind = F.when(all_hex, F.lit("entropy_hex")).otherwise(F.lit("entropy_base64"))
+    least = F.lit(None).cast("double")
+    for name, (_, bits) in CLASSES.items():
+        least = F.when(F.col("kind") == name, F.lit(bits)).otherwise(least)
     return (
-        steps.select("*", entropy.alias("entropy"))
-        .where((F.col("i") >= WINDOW - 1) & (F.col("entropy") >= F.col("least")))
+        steps.select("*", entropy.alias("entropy"), kind.alias("kind"))
+        .where((F.col("i") >= WINDOW - 1) & (F.col("entropy") >= least))
         .groupBy(ROW, "k", "kind").agg(
             F.first("doc_id").alias("doc_id"),
             (F.min(F.col("start") + F.col("i")) - WINDOW + 1).alias("start"),

@@ -83,3 +83,27 @@ def test_spans_equal_a_plain_scan(docs):
 
 def test_no_rows(docs):
     assert S.digest(S.find_secrets(docs([]))).collect() == []
+
+
+def added_of(docs, texts):
+    """For each text the spans of the added kinds."""
+    found = {r["doc_id"]: r["spans"] for r in S.find_secrets(docs(list(enumerate(texts)))).collect()}
+    return [[(s["kind"], s["start"], s["end"]) for s in found[i] if s["kind"] in S.CLASSES] for i in range(len(texts))]
+
+
+def test_hex_behind_a_name_is_found_whole(docs):
+    rng = random.Random(8)
+    cases = []
+    for name in ("SIGNING_KEY=", "DB_KEY=", "key=", "Id-", "A/b_"):
+        for length in (20, 24, 32):
+            for alphabet in ("0123456789abcdef", "0123456789ABCDEF"):
+                while True:
+                    digits = "".join(rng.choice(alphabet) for _ in range(length))
+                    if all(entropy(digits[i:i + 20]) >= 2.8 for i in range(length - 19)):
+                        break
+                # 32 lower-case digits are a plain pattern's match
+                if alphabet.isupper() or length < 32:
+                    cases.append((f"set {name}{digits} now", len("set " + name), length))
+    for (text, start, length), spans in zip(cases, added_of(docs, [c[0] for c in cases])):
+        assert ("entropy_hex", start, start + length) in spans, text
+    assert added_of(docs, ["order-12345678901234567890", "KEY=98765432109876543210"]) == [[], []]
