@@ -44,7 +44,8 @@ ALLOWED = [
     r"^[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",
     r"(?i)abcdefghijkl|0123456789|example|placeholder|xxxxx",
     r"^sha(256|384|512)-",
-    r"^/?([a-z]+[/_-])+[a-z0-9]*$",
+    # no repeated group: Java's regular expressions recurse for each repetition
+    r"^(?!.*[/_-]{2})/?[a-z]+[/_-][a-z/_-]*(?<=[/_-])[a-z0-9]*$",
 ]
 
 

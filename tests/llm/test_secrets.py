@@ -107,3 +107,8 @@ def test_hex_behind_a_name_is_found_whole(docs):
     for (text, start, length), spans in zip(cases, added_of(docs, [c[0] for c in cases])):
         assert ("entropy_hex", start, start + length) in spans, text
     assert added_of(docs, ["order-12345678901234567890", "KEY=98765432109876543210"]) == [[], []]
+
+
+def test_long_names_are_searched_without_recursion(docs):
+    texts = ["ab-" * 50_000 + "1", "/" + "ab/" * 50_000 + "cd", "ab_" * 50_000, "a-" * 50_000 + "-b1"]
+    assert added_of(docs, texts) == [[], [], [], []]
