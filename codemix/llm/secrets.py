@@ -9,8 +9,8 @@ the counts c of its characters, and a step of the window changes S only by the
 character that enters and the one that leaves. Both counts come from a frame over
 equal characters, so a window costs the same whatever its length. The class of
 characters, and with it the threshold, is that of the window: hex inside a section
-of hex digits, as behind a name, else base64. A candidate is reported from its first to its
-last window above the threshold, for each class, unless the allow list names it or a pattern's match overlaps it.
+of hex digits, as behind a name, else base64. Windows above the threshold that neither an allowed
+part of the candidate nor a pattern's match overlaps are reported, for each class those that adjoin as one span.
 
 Everything is made of DataFrame operations; windows run inside one document.
 """
@@ -39,13 +39,21 @@ CLASSES = {
     "entropy_base64": (".+", 3.75),
 }
 KINDS = [*BASE_KINDS, *CLASSES]
-#: Candidates that are no secrets: UUIDs, alphabets, placeholders, integrity hashes, paths and names.
+#: Whole candidates that are no secrets: UUIDs, alphabets, a documented sample key, paths and names.
 ALLOWED = [
     r"^[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",
-    r"(?i)abcdefghijkl|0123456789|example|placeholder|xxxxx",
-    r"^sha(256|384|512)-",
+    r"(?i)^abcdefghijkl[m-z]*(abcdefghijkl[m-z]*)?(0123456789)?[+/_=-]*$",
+    r"^wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY$",
     # no repeated group: Java's regular expressions recurse for each repetition
-    r"^(?!.*[/_-]{2})/?[a-z]+[/_-][a-z/_-]*(?<=[/_-])[a-z0-9]*$",
+    r"^(?!.*[/_-]{2})/?[a-z]+[/_-][a-z/_-]*[0-9]{0,4}$",
+]
+#: Parts of candidates that are no secrets: alphabets, placeholders, integrity hashes. What is left
+#: of the candidate is scored. A window with five x in it is below the thresholds anyway.
+ALLOWED_PARTS = [
+    r"(?i:abcdefghijkl[m-z]*|0123456789|example|placeholder)",
+    r"^sha256-(?:[0-9A-Fa-f]{64}|[A-Za-z0-9+/]{43}=?)",
+    r"^sha384-(?:[0-9A-Fa-f]{96}|[A-Za-z0-9+/]{64})",
+    r"^sha512-(?:[0-9A-Fa-f]{128}|[A-Za-z0-9+/]{86}={0,2})",
 ]
 
 
@@ -114,8 +122,8 @@ def _marks(value: Column, pattern: str) -> Column:
     return F.split(F.array_join(marks, ""), "")
 
 
-def _entropy_spans(candidates: DataFrame) -> DataFrame:
-    """For each candidate and class the part covered by windows above the class's threshold."""
+def _entropy_windows(candidates: DataFrame) -> DataFrame:
+    """The windows above the threshold of their class, without those that hold an allowed part."""
     value = F.col("value")
     suspects = candidates.where(
         value.rlike("[0-9]") & value.rlike("[A-Za-z]")
@@ -124,8 +132,12 @@ def _entropy_spans(candidates: DataFrame) -> DataFrame:
     characters = suspects.select(
         ROW, "doc_id", "k", "start", F.posexplode(F.arrays_zip(
             F.split(value, "").alias("ch"), _marks(value, CLASSES["entropy_hex"][0]).alias("hex"),
+            _marks(value, "|".join(ALLOWED_PARTS)).alias("allowed"),
         )).alias("i", "at"),
-    ).select(ROW, "doc_id", "k", "start", "i", F.col("at.ch").alias("ch"), (F.col("at.hex") == "x").alias("hex"))
+    ).select(
+        ROW, "doc_id", "k", "start", "i", F.col("at.ch").alias("ch"),
+        (F.col("at.hex") == "x").alias("hex"), (F.col("at.allowed") == "x").alias("allowed"),
+    )
     same = Window.partitionBy(ROW, "k", "ch").orderBy("i")
     entering = F.count("*").over(same.rangeBetween(1 - WINDOW, 0))
     leaving = F.count("*").over(same.rangeBetween(0, WINDOW - 1))
@@ -138,18 +150,17 @@ def _entropy_spans(candidates: DataFrame) -> DataFrame:
         F.sum("loss").over(along.rowsBetween(Window.unboundedPreceding, -WINDOW)), F.lit(0.0)
     )
     entropy = F.log2(F.lit(float(WINDOW))) - total / WINDOW
-    all_hex = F.min("hex").over(along.rowsBetween(1 - WINDOW, 0))
-    kind = F.when(all_hex, F.lit("entropy_hex")).otherwise(F.lit("entropy_base64"))
+    window = along.rowsBetween(1 - WINDOW, 0)
+    kind = F.when(F.min("hex").over(window), F.lit("entropy_hex")).otherwise(F.lit("entropy_base64"))
     least = F.lit(None).cast("double")
     for name, (_, bits) in CLASSES.items():
         least = F.when(F.col("kind") == name, F.lit(bits)).otherwise(least)
     return (
-        steps.select("*", entropy.alias("entropy"), kind.alias("kind"))
-        .where((F.col("i") >= WINDOW - 1) & (F.col("entropy") >= least))
-        .groupBy(ROW, "k", "kind").agg(
-            F.first("doc_id").alias("doc_id"),
-            (F.min(F.col("start") + F.col("i")) - WINDOW + 1).alias("start"),
-            (F.max(F.col("start") + F.col("i")) + 1).alias("end"),
+        steps.select("*", entropy.alias("entropy"), kind.alias("kind"), F.max("allowed").over(window).alias("touched"))
+        .where((F.col("i") >= WINDOW - 1) & ~F.col("touched") & (F.col("entropy") >= least))
+        .select(
+            ROW, "doc_id", (F.col("start") + F.col("i") - WINDOW + 1).alias("start"),
+            (F.col("start") + F.col("i") + 1).alias("end"), "kind",
         )
     )
 
@@ -174,7 +185,7 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.when((F.col("kind") != "assign") | (F.char_length("value") >= 8), F.col("kind")).alias("kind"),
     )
     texts = placed.where("kind = 'candidate'")
-    added = _entropy_spans(texts).select(ROW, "doc_id", "start", "end", "kind")
+    added = _entropy_windows(texts)
     # Every text needs a row, also when all it has are candidates below the threshold.
     bare = texts.select(
         ROW, "doc_id", *[F.lit(None).cast(t).alias(c) for c, t in (("start", "long"), ("end", "long"), ("kind", "string"))]
@@ -188,8 +199,16 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     free = (F.coalesce(ended, F.lit(0)) <= F.col("start")) & (
         begins.isNull() | (begins >= F.col("end"))
     )
-    spans = spans.withColumn("order", order).withColumn("kept", F.col("kind").isNotNull() & (is_base | free))
-    span = F.when(F.col("kept"), F.struct("start", "order", "kind", "end"))
+    spans = spans.withColumn("kind", F.when(is_base | free, F.col("kind")))
+    # windows that adjoin or overlap make one span; each match of a pattern is its own
+    group = Window.partitionBy(ROW, "kind").orderBy("start")
+    apart = is_base | F.coalesce(F.col("start") > F.lag("end").over(group), F.lit(True))
+    spans = spans.withColumn("apart", apart.cast("int")).withColumn(
+        "group", F.sum("apart").over(group.rowsBetween(Window.unboundedPreceding, 0))
+    ).groupBy(ROW, "kind", "group").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end")
+    ).withColumn("order", order)
+    span = F.when(F.col("kind").isNotNull(), F.struct("start", "order", "kind", "end"))
     return spans.groupBy(ROW).agg(
         F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(span)).alias("spans")
     )

@@ -112,3 +112,26 @@ def test_hex_behind_a_name_is_found_whole(docs):
 def test_long_names_are_searched_without_recursion(docs):
     texts = ["ab-" * 50_000 + "1", "/" + "ab/" * 50_000 + "cd", "ab_" * 50_000, "a-" * 50_000 + "-b1"]
     assert added_of(docs, texts) == [[], [], [], []]
+
+
+def test_only_the_allowed_part_of_a_run_is_left_out(docs):
+    secret, access = "aB3xK9mQ2vL7tR4wZ8pN1", "AKIA" + "Q7RT2WXY4ZKLM5NP"
+    long = "wJ4lrXU7nFEMIqK7MDENGxbPxRf1CYz9Lw3KvT0s"
+    cases = [
+        "prod/example/" + secret, "placeholder-" + secret + "_0123456789", "x" * 30 + secret,
+        "sk_test_4ec39hqlyjwdarjtt1zdp7dc", "deploy-key-9f8a7b6cq5d4e3wf2a1b", access + "/" + long,
+        "sha256-" + "47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=" + "/" + secret,
+    ]
+    hidden = [secret, secret, secret, "4ec39hqlyjwdarjtt1zdp7dc", "9f8a7b6cq5d4e3wf2a1b", long, secret]
+    for text, part, spans in zip(cases, hidden, added_of(docs, cases)):
+        start = text.index(part)
+        assert any(a <= start and start + len(part) <= b for _, a, b in spans), (text, spans)
+    between = secret + "/example/" + secret
+    (spans,) = added_of(docs, [between])
+    assert len(spans) == 2 and spans[0][2] <= len(secret) + 1 and spans[1][1] >= len(secret) + 8
+    nothing = [
+        "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "sha256-47DEQpj8HBSa+/TImW+5JCeuQeRkm5NMpJWZG3hSuFU=",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "some/long/path/of/chapter-12",
+        "123e4567-e89b-12d3-a456-426614174000", "key-xxxxxxxxxxxxxxxxxxxxxxxx1", access,
+    ]
+    assert added_of(docs, nothing) == [[]] * len(nothing)
