@@ -5,8 +5,8 @@ proportion to its length. For the disguised ones a text is rewritten: homoglyphs
 other scripts' digits to ASCII, invisible characters to nothing, spelled digits
 to digits, and disguises of @ and . to these. Every character of the rewritten
 text knows the span of the source that it stands for, so that what the same patterns
-find there is mapped back to source offsets. Such a span is added when it doesn't
-overlap a plain one. Linear-time patterns tell beforehand which searches a text needs. Offsets count code points, ends are exclusive.
+find there is mapped back to source offsets. Such a span is added unless a plain one of
+its kind covers it. Linear-time patterns tell beforehand which searches a text needs. Offsets count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -14,9 +14,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_right
 from functools import lru_cache
-from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
@@ -198,6 +197,22 @@ def _disguise(m: re.Match) -> list[tuple[str, int, int]]:
     return words
 
 
+def _at_source(rewritten: _Rewritten, hints: dict[str, bool], known: list[Span]) -> list[Span]:
+    """What the patterns find, at source offsets, without what a known span of its kind covers."""
+    # those of a kind don't overlap
+    taken = {kind: ([], []) for kind in KINDS}
+    for kind, a, b in sorted(known, key=lambda s: s[1]):
+        taken[kind][0].append(a)
+        taken[kind][1].append(b)
+    added = []
+    for kind, a, b in plain_spans(rewritten.text, hints):
+        start, end = rewritten.starts[a], rewritten.ends[b - 1]
+        before = bisect_right(taken[kind][0], start)
+        if not before or taken[kind][1][before - 1] < end:
+            added.append((kind, start, end))
+    return added
+
+
 def disguised_spans(text: str, plain: list[Span], hints: dict[str, bool]) -> list[Span]:
     """Identifiers that only the rewritten text shows, at source offsets."""
     if not hints["strange"] and not hints["rules"]:
@@ -213,16 +228,7 @@ def disguised_spans(text: str, plain: list[Span], hints: dict[str, bool]) -> lis
         hints = hints_of([rewritten.text])[0]
     if not changed:
         return []
-    # plain spans by start, and the farthest end up to each
-    taken = sorted((a, b) for _, a, b in plain)
-    reach = list(accumulate((b for _, b in taken), max))
-    added = []
-    for kind, a, b in plain_spans(rewritten.text, hints):
-        start, end = rewritten.starts[a], rewritten.ends[b - 1]
-        before = bisect_left(taken, (end, 0))
-        if not before or reach[before - 1] <= start:
-            added.append((kind, start, end))
-    return added
+    return _at_source(rewritten, hints, plain)
 
 
 def spans_of(texts) -> list[tuple[list[Span], list[Span]]]:

@@ -83,6 +83,20 @@ def test_no_identifier(text):
     assert pii.all_spans(text) == ([], [])
 
 
+@pytest.mark.parametrize("text, hidden", [
+    ("to alice.sm\u0456th@example.com!", "alice.sm\u0456th@example.com"),
+    ("to bob@example.c\u043em!", "bob@example.c\u043em"), ("to bob@mail.example dot com!", "bob@mail.example dot com"),
+    ("to al\u200bice@example.c\u200bom!", "al\u200bice@example.c\u200bom"),
+])
+def test_disguise_beside_a_plain_part(text, hidden):
+    plain, every = pii.all_spans(text)
+    start = text.index(hidden)
+    assert plain and all(s in every for s in plain)
+    assert ("email", start, start + len(hidden)) in every
+    assert pii.redacted(text) == "to [EMAIL]!"
+    assert every.count(("email", start, start + len(hidden))) == 1
+
+
 def test_redaction():
     assert pii.redacted("mail a@b.c or +1 (743) 555-3824.") == "mail [EMAIL] or [PHONE]."
     assert pii.redacted("john at example dot com") == "[EMAIL]"
