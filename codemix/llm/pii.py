@@ -117,18 +117,21 @@ _INVISIBLE_ONES = re.compile(f"[{_INVISIBLE}]")
 
 
 _DIGIT = "(?:" + "|".join(_DIGITS) + ")"
-# A disguise holds up to three blanks in a row, so that a search stays linear.
-_BLANKS = r"\s{1,3}"
-_OPEN, _CLOSE = r"\s{0,3}[\[({<]\s{0,3}", r"\s{0,3}[\])}>]\s{0,3}"
-_DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|{_BLANKS}dot{_BLANKS})"
+# Blanks in front of a disguise are tried from the first on only, so that a search stays linear.
+_BLANKS, _FIRST = r"\s+", r"(?<!\s)"
+_OPEN, _CLOSE = rf"{_FIRST}\s*[\[({{<]\s*", r"\s*[\])}>]\s*"
+_DOT = rf"(?:{_OPEN}(?:dot|\.){_CLOSE}|{_FIRST}{_BLANKS}dot{_BLANKS})"
+_BETWEEN = r"(?:\s+(?:[,-]\s*){0,3}|(?:[,-]\s*){1,3})"
 _AT = rf"{_OPEN}(?:at|@){_CLOSE}"
 _RULES = re.compile(
     # a spelled "at" counts only where a disguised dot follows the next name
-    rf"(?P<at>{_AT}|{_BLANKS}at{_BLANKS}(?=[a-z0-9-]{{1,63}}{_DOT}[a-z0-9]))"
+    rf"(?P<at>{_AT}|{_FIRST}{_BLANKS}at{_BLANKS}(?=[a-z0-9-]{{1,63}}{_DOT}[a-z0-9]))"
     rf"|(?P<dot>(?<=[a-z0-9]){_DOT}(?=[a-z0-9]))"
-    rf"|(?P<digits>(?<![a-z0-9])(?:plus{_BLANKS})?{_DIGIT}(?:[\s,-]{{1,3}}{_DIGIT})+(?![a-z0-9]))",
+    rf"|(?P<digits>(?<![a-z0-9])(?:plus{_BLANKS})?{_DIGIT}(?:{_BETWEEN}{_DIGIT})+(?![a-z0-9]))",
     re.IGNORECASE,
 )
+# a digit word by itself, searched where one adjoins a dot, a plus or another digit
+_SINGLE = re.compile(rf"(?<![a-z0-9])(?:plus{_BLANKS})?{_DIGIT}(?![a-z0-9])", re.IGNORECASE)
 _RE2_BLANK = r"[\s\p{Z}\x0b\x1c-\x1f\x{85}]"
 
 
@@ -143,8 +146,10 @@ def _hints() -> dict[str, str]:
         "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]",
         "card": r"[0-9](?:[ -]?[0-9]){15}",
         "strange": f"[{strange}]",
-        "rules": rf"(?i)[\[({{<]{_RE2_BLANK}{{0,3}}(?:at|@|dot|\.)|{_RE2_BLANK}dot{_RE2_BLANK}"
-                 rf"|{_DIGIT}(?:{_RE2_BLANK}|[,-]){{1,3}}{_DIGIT}",
+        "rules": rf"(?i)[\[({{<]{_RE2_BLANK}*(?:at|@|dot|\.)|{_RE2_BLANK}dot{_RE2_BLANK}"
+                 rf"|{_DIGIT}(?:{_RE2_BLANK}|[,-])+{_DIGIT}",
+        "single": rf"(?i)[0-9+](?:{_RE2_BLANK}|[().-])*(?:plus{_RE2_BLANK}+)?{_DIGIT}"
+                  rf"|{_DIGIT}(?:{_RE2_BLANK}|[().-])*[0-9]|\.{_DIGIT}|{_DIGIT}\.{_DIGIT}",
     }
 
 
@@ -190,6 +195,10 @@ def _disguise(m: re.Match) -> list[tuple[str, int, int]]:
         return [("@", *m.span())]
     if m["dot"]:
         return [(".", *m.span())]
+    return _spelled(m)
+
+
+def _spelled(m: re.Match) -> list[tuple[str, int, int]]:
     words = []
     for w in _WORD.finditer(m.string, *m.span()):
         low = w[0].lower()
@@ -215,7 +224,7 @@ def _at_source(rewritten: _Rewritten, hints: dict[str, bool], known: list[Span])
 
 def disguised_spans(text: str, plain: list[Span], hints: dict[str, bool]) -> list[Span]:
     """Identifiers that only the rewritten text shows, at source offsets."""
-    if not hints["strange"] and not hints["rules"]:
+    if not hints["strange"] and not hints["rules"] and not hints["single"]:
         return []
     # one character for another moves nothing
     rewritten = _Rewritten(text.translate(_characters()) if hints["strange"] else text)
@@ -226,9 +235,12 @@ def disguised_spans(text: str, plain: list[Span], hints: dict[str, bool]) -> lis
     if hints["rules"]:
         changed |= rewritten.rewrite(_RULES, _disguise)
         hints = hints_of([rewritten.text])[0]
-    if not changed:
-        return []
-    return _at_source(rewritten, hints, plain)
+    added = _at_source(rewritten, hints, plain) if changed else []
+    # apart, as a digit more beside an identifier may also hide it
+    if hints["single"] and rewritten.rewrite(_SINGLE, _spelled):
+        more = _at_source(rewritten, hints_of([rewritten.text])[0], plain)
+        added += set(more) - set(added)
+    return added
 
 
 def spans_of(texts) -> list[tuple[list[Span], list[Span]]]:

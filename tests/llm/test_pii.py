@@ -97,6 +97,42 @@ def test_disguise_beside_a_plain_part(text, hidden):
     assert every.count(("email", start, start + len(hidden))) == 1
 
 
+@pytest.mark.parametrize("hidden, kind", [
+    ("one nine two dot one six eight dot one dot one", "ip"), ("one two seven dot zero dot zero dot one", "ip"),
+    ("192.168.one.1", "ip"), ("10 dot zero dot 0 [dot] five", "ip"), ("One.two.three.four", "ip"),
+    ("+1 555 two 34 one 9876", "phone"), ("+one 743 555 3824", "phone"), ("plus one (seven four three) 555 3824", "phone"),
+    ("4111 1111 1111 111 one", "card"), ("john    at \n   example     dot      com", "email"),
+    ("john     [    at    ]     example     (   dot   )      com", "email"),
+    ("plus     one    seven     four , three,    five five five three eight two four", "phone"),
+])
+def test_single_spelled_digits_and_wide_blanks(hidden, kind):
+    text = f"see {hidden}, ok"
+    plain, every = pii.all_spans(text)
+    assert (kind, 4, 4 + len(hidden)) in every and all(s in every for s in plain)
+    assert len(every) == len(set(every))
+
+
+@pytest.mark.parametrize("text", [
+    "one of 3 and two.", "chapter one 1.2 and seven", "+ one, 2 and three", "it is one.  Two of 10 plus three", "some one dot",
+])
+def test_spelled_digits_are_no_identifier(text):
+    assert pii.all_spans(text) == ([], [])
+
+
+def test_a_digit_word_beside_an_identifier_hides_nothing():
+    text = "seven \u0664111 1111 1111 1111"
+    assert ("card", 6, len(text)) in pii.all_spans(text)[1]
+
+
+@pytest.mark.parametrize("unit", [
+    "one 1 ", "1 one", "plus ", "plus 1", "one.", "at    ", "one    ,", "dot     ", "[    ", "a at    ", " " * 1000 + "at", " " * 1000 + "one -",
+])
+def test_wide_disguises_take_linear_time(unit):
+    start = time.time()
+    pii.all_spans(unit * (200_000 // len(unit)))
+    assert time.time() - start < 20
+
+
 def test_redaction():
     assert pii.redacted("mail a@b.c or +1 (743) 555-3824.") == "mail [EMAIL] or [PHONE]."
     assert pii.redacted("john at example dot com") == "[EMAIL]"
