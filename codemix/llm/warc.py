@@ -31,9 +31,10 @@ from codemix.session import shared_folder
 REVISIT_BYTES = 1000
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 4 << 20
-#: Longest header of a record; one that doesn't end by then is none.
+#: What is read behind a range for headers; one that goes on is read by itself.
 HEADER_BYTES = 1 << 20
 MAGIC = b"WARC/1."
+_BEGINNING = re.compile(rb"WARC/1\.[0-9]+\r\n[^\r\n:]+:")
 DATE = "2020-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD_ID = re.compile(rb"<urn:x-page:(-?[0-9]+|none)>")
@@ -116,27 +117,47 @@ def write(
 
 # ---- reading --------------------------------------------------------------
 
-def header_at(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
-    """The header's fields and its end, if a record could begin there."""
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-    if end < 0 or not data.startswith(MAGIC, at):
+def long_header(source, at: int, length: int) -> bytes:
+    """What is at an offset of a file of this length, up to the header's end if there is one."""
+    size = 2 * HEADER_BYTES
+    while True:
+        data = source.read_at(min(size, length - at), at)
+        if b"\r\n\r\n" in data or size >= length - at:
+            return data
+        size *= 2
+
+
+def header_at(data: bytes, at: int, rest=None) -> tuple[dict[bytes, bytes], int] | None:
+    """The header's fields and its end, if a record could begin there. ``rest(at)`` gives
+    a header that doesn't end within ``HEADER_BYTES``; it may end behind the data."""
+    if not data.startswith(MAGIC, at):
+        return None
+    end, head = data.find(b"\r\n\r\n", at, at + HEADER_BYTES), None
+    if end >= 0:
+        head = data[at:end]
+    elif rest and _BEGINNING.match(data, at):
+        lines = data[at:at + HEADER_BYTES].split(b"\r\n")
+        if all(b":" in line for line in lines[1:-1]):
+            head, found, _ = rest(at).partition(b"\r\n\r\n")
+            head = head if found else None
+    if head is None:
         return None
     fields = {}
-    for line in data[at:end].split(b"\r\n")[1:]:
+    for line in head.split(b"\r\n")[1:]:
         key, colon, value = line.partition(b":")
         if not colon:
             return None
         fields.setdefault(key.strip().lower(), value.strip())
-    length = fields.get(b"content-length", b"")
-    return (fields, end + 4) if length.isdigit() and len(length) < 19 else None
+    size = fields.get(b"content-length", b"")
+    return (fields, at + len(head) + 4) if size.isdigit() and len(size) < 19 else None
 
 
-def candidates(data: bytes, begin: int, end: int, base: int) -> dict[int, int]:
+def candidates(data: bytes, begin: int, end: int, base: int, rest=None) -> dict[int, int]:
     """Candidate starts in data[begin:end] and where the next record would be, as file
     offsets; ``base`` is the offset of data[0]."""
     found, at = {}, data.find(MAGIC, begin, end + len(MAGIC) - 1)
     while at >= 0:
-        head = header_at(data, at)
+        head = header_at(data, at, rest)
         if head:
             found[base + at] = base + head[1] + int(head[0][b"content-length"]) + 4
         at = data.find(MAGIC, at + 1, end + len(MAGIC) - 1)
@@ -191,7 +212,8 @@ def reached_entries(spark: SparkSession, folder: str, range_bytes: int = RANGE_B
     def jumps(source, row):
         begin, end = row["begin"], min(row["begin"] + range_bytes, row["length"])
         data = source.read_at(min(range_bytes + HEADER_BYTES, row["length"] - begin), begin)
-        leads = exits(candidates(data, 0, end - begin, begin), end)
+        rest = lambda at: long_header(source, begin + at, row["length"])
+        leads = exits(candidates(data, 0, end - begin, begin, rest), end)
         return [{"file": row["file"], "at": at, "to": to} for at, to in leads.items()]
 
     jump = written(_per_range(ranges, folder, jumps, "file string, at long, to long"), "warc-jumps")
@@ -230,8 +252,9 @@ def read(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> Da
         at, length = row["at"], row["length"]
         end = min((at // range_bytes + 1) * range_bytes, length)
         base, data = at, source.read_at(min(end - at + HEADER_BYTES, length - at), at)
+        rest = lambda at: long_header(source, base + at, length)
         while at < end:
-            head = header_at(data, at - base)
+            head = header_at(data, at - base, rest)
             if head is None:
                 raise ValueError(f"no record at {at} of {row['file']}")
             fields, begin = head

@@ -54,6 +54,16 @@ def test_round_trip(spark, pages, monkeypatch, range_bytes, file_bytes):
     assert got == Counter(expected(rows))
 
 
+@pytest.mark.parametrize("range_bytes", [4 << 20, 1 << 18])
+def test_addresses_of_any_length(spark, pages, range_bytes):
+    unfinished = "WARC/1.1\r\nX: " + "y" * 1_500_000
+    rows = [(1, "http://h/" + "u" * 3_000_000, "<p>1"), (2, "v", unfinished), (3, "w" * (warc.HEADER_BYTES + 9), FAKE), (4, "x", "y")]
+    folder = shared_folder(spark, "warc-test")
+    made = warc.write(pages(rows).coalesce(1), folder)
+    assert made.groupBy().sum("records").first()[0] == len(rows)
+    assert Counter(map(tuple, warc.read(spark, folder, range_bytes).collect())) == Counter(expected(rows))
+
+
 def test_other_archives(spark, tmp_path):
     """Other tools' fields and records; lines of a header may come in any order and case."""
     strange = b"WARC/1.0\r\ncontent-length: 4\r\nWARC-TYPE: metadata\r\n\r\nWARC\r\n\r\n"
