@@ -30,6 +30,11 @@ def needed(sink: DataFrame, target: float) -> int:
     return topup_from(cs_rate_flag(sink), target).first().needed_conversations
 
 
+def nameless(sink: str) -> str:
+    """The folder of answers without a `response_id`, beside the sink."""
+    return sink.rstrip("/") + "-without-id"
+
+
 def start_ingest(
     responses: DataFrame, sink: str, checkpoint: str, totals_path: str | None = None,
     target: float | None = None, trigger: dict = ALL_THERE_IS,
@@ -39,19 +44,25 @@ def start_ingest(
     Exactly once by `response_id`: an answer that is delivered again, in the same or a later
     micro-batch, is not stored again, and a micro-batch that is run again after a
     failure replaces its own subfolder. Of answers with one id in a micro-batch any one
-    counts. With `totals_path` the totals are saved after every micro-batch; with `target`
+    counts. Answers without a `response_id` can't be told from one another: all of them are set
+    apart, as they arrived, in a subfolder of `nameless(sink)` per micro-batch, and are not
+    parsed, stored or counted. With `totals_path` the totals are saved after every micro-batch; with `target`
     nothing more is stored once the switch rate has come down to it.
     """
 
     def append(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = _stored(spark, sink)
-        new = batch.dropDuplicates(["response_id"])
+        named = F.col("response_id").isNotNull()
+        new = batch.filter(named).dropDuplicates(["response_id"])
         if stored is not None:
             earlier = stored.filter(F.col("ingest") != batch_id)
             if target is not None and not earlier.isEmpty() and needed(earlier, target) == 0:
                 return
             new = new.join(earlier.select("response_id").distinct(), "response_id", "left_anti")
+        apart = batch.filter(~named)
+        if not apart.isEmpty():
+            apart.write.mode("overwrite").parquet(os.path.join(nameless(sink), f"ingest={batch_id}"))
         parse_responses(new).write.mode("overwrite").parquet(os.path.join(sink, f"ingest={batch_id}"))
         if totals_path is not None:
             totals(spark.read.parquet(sink)).coalesce(1).write.mode("overwrite").json(totals_path)

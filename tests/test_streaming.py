@@ -74,6 +74,24 @@ def test_answers_delivered_again_change_nothing(spark, small, tmp_path):
     assert second.last_updated > first.last_updated
 
 
+def test_answers_without_an_id_are_set_apart(spark, small, tmp_path):
+    docs = documents(spark, small).limit(60).localCheckpoint()
+    inbox, sink, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
+    answers = V.responses_of(docs)
+    answers = answers.withColumn("response_id", F.when(F.crc32(F.col("raw_text").cast("binary")) % 3 > 0, F.col("response_id")))
+    lost = answers.filter("response_id is null")
+    for _ in range(2):
+        answers.write.mode("append").parquet(str(inbox))
+        stream = spark.readStream.schema(answers.schema).parquet(str(inbox))
+        I.start_ingest(stream, sink, checkpoint).awaitTermination()
+    stored = spark.read.parquet(sink)
+    assert stored.filter("response_id is null").count() == 0
+    assert stored.count() == parse_responses(answers.filter("response_id is not null")).count()
+    apart = spark.read.parquet(I.nameless(sink))
+    assert lost.count() > 1 and apart.count() == 2 * lost.count()
+    assert apart.select(lost.columns).exceptAll(lost.union(lost)).isEmpty()
+
+
 def test_the_stream_ends_at_the_target(spark, small, tmp_path):
     docs = documents(spark, small)
     for part in range(4):
