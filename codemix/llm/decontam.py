@@ -22,8 +22,11 @@ WINDOW = 13
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A document is contaminated when at least one in so many of its words is hit.
 SHARE = 20
-#: Most n-grams in a broadcast table: about 200 bytes each, so 200 MB.
+#: Most n-grams in a broadcast table, and most bytes of them and their items' ids.
 MAX_BROADCAST = 1_000_000
+MAX_BROADCAST_BYTES = 200_000_000
+#: What a row or an id takes besides.
+_ROW_BYTES = 64
 
 
 def words(text: Column) -> Column:
@@ -62,7 +65,11 @@ def scan(
     their own results, and other columns are ignored. Empty tables give no hits.
     """
     grams = ngrams(items, item_col, item_text, window)
-    sizes = {r["n"]: r["grams"] for r in grams.groupBy("n").agg(F.count("*").alias("grams")).collect()}
+    # a gram counts with each of its items, so the sum is no less than the table
+    size = F.octet_length("gram") + F.octet_length("item") + F.lit(_ROW_BYTES).cast("long")
+    counted = grams.groupBy("n").agg(F.count("*").alias("grams"), F.sum(size).alias("bytes")).collect()
+    sizes = {r["n"]: r["grams"] for r in counted}
+    small = sum(sizes.values()) <= MAX_BROADCAST and sum(r["bytes"] for r in counted) <= MAX_BROADCAST_BYTES
     longest = max(sizes, default=1)
     names = _window_columns(longest)
 
@@ -85,7 +92,7 @@ def scan(
     else:
         keys = rows.select("*", F.explode(looked).alias("key")).select("*", "key.n", "key.hash")
     wanted = grams.groupBy("n", "gram", "hash").agg(F.sort_array(F.collect_set("item")).alias("found"))
-    if sum(sizes.values()) <= MAX_BROADCAST:
+    if small:
         wanted = F.broadcast(wanted)
     same_words = _gram(names) if len(sizes) == 1 else F.array_join(F.slice(F.array(*names), 1, F.col("k.n")), " ")
     joined = keys.alias("k").join(

@@ -73,6 +73,18 @@ def test_the_join_that_does_not_broadcast_gives_the_same(spark, docs, monkeypatc
     assert Counter(map(tuple, decontam.report(found).collect())) == Counter(plain(rows, items))
 
 
+def test_few_long_ngrams_are_not_broadcast(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontam, "MAX_BROADCAST_BYTES", 1_000_000, raising=False)
+    long = " ".join("\u5b57" * 2000 + str(i) for i in range(40))
+    rows, items = [(1, "a " + long), (2, "a b"), (3, None)], [(1, long), (2, long)]
+    found, _ = run(spark, docs, rows, items)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan(found)
+    assert Counter(map(tuple, decontam.report(found).collect())) == Counter(plain(rows, items))
+    found, _ = run(spark, docs, rows, [(1, "a b")])
+    assert "strategy=broadcast" in plan(found)
+
+
 def test_empty_tables(spark, docs):
     found, _ = run(spark, docs, [(1, "a b")], [])
     assert [r.n_hit for r in decontam.report(found).collect()] == [0]
