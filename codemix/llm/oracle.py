@@ -36,3 +36,48 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND page_id <> largest THEN largest END AS refers_to
 FROM d
 """
+
+CHAT = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (
+  SELECT *, len(regexp_extract_all(text, '\p{L}{1,4}|\p{N}{1,3}|[^\x00-\x20\p{L}\p{N}]')) + 8 AS tokens,
+    4 + length(role) + 2 + length(text) + 8 + (length(text) - length(replace(text, '\', '')))
+      + (length(text) - length(replace(text, '</turn>', ''))) // 7
+      + length(array_to_string(regexp_extract_all(text, '####*'), ''))
+      - 2 * len(regexp_extract_all(text, '####*')) AS chars
+  FROM c),
+n AS (
+  SELECT *, row_number() OVER w - 1 AS number, coalesce(sum(tokens) OVER (
+      PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    count(*) OVER (PARTITION BY conv_id) AS turns
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+y AS (SELECT conv_id, tokens, chars FROM n WHERE number = 0 AND role = 'system'),
+r AS (
+  SELECT n.*, n.before - coalesce(y.tokens, 0) AS start, y.chars AS kept,
+    greatest(1024 - coalesce(y.tokens, 0), 512) AS room
+  FROM n LEFT JOIN y ON y.conv_id = n.conv_id
+  WHERE n.turns = 1 OR n.number > 0 OR n.role <> 'system'),
+s AS (SELECT *, CASE WHEN number = 0 THEN 0 ELSE start END AS beg, least(256, room // 2) AS past FROM r),
+k AS (SELECT *, CAST(beg + tokens - 1 AS BIGINT) // CAST(room - past AS BIGINT) AS k FROM s),
+f AS (
+  SELECT conv_id, chars, kept, turns, 2 * k + CASE WHEN beg < k * (room - past) - past THEN 0 ELSE 1 END AS win,
+    CASE WHEN beg >= (k + 1) * (room - past) - past THEN 2 * k + 3 END AS again
+  FROM k),
+d AS (SELECT conv_id, win, max(CASE WHEN turns > 1 THEN kept END) AS kept FROM f GROUP BY conv_id, win),
+p AS (
+  SELECT conv_id, chars FROM f
+  UNION ALL SELECT conv_id, coalesce(kept, 0) FROM d
+  UNION ALL SELECT f.conv_id, f.chars FROM f JOIN d ON d.conv_id = f.conv_id AND d.win = f.again),
+q AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM p GROUP BY conv_id),
+g AS (
+  SELECT conv_id, count(*) AS n_turns,
+    coalesce(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn), '') AS said,
+    coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '') AS loss
+  FROM c GROUP BY conv_id)
+SELECT g.conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+  sha256(loss) AS loss_sha256, formatted_chars
+FROM g JOIN q ON q.conv_id = g.conv_id
+"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codemix.llm import (
-    ann, decontam, oracle, pii, secrets, sentencepiece_bpe, sharding, simhash, token_files, toxicity,
+    ann, chat, decontam, oracle, pii, secrets, sentencepiece_bpe, sharding, simhash, token_files, toxicity,
     warc,
 )
 from codemix.llm.common import table
@@ -57,6 +57,10 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op12_chat_windows(spark, sf_dir):
+    return chat.digest(chat.windows(chat.with_hostile(table(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_token_files": op1_token_files,
@@ -69,8 +73,10 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_secret_scan": op10_secret_scan,
+    "op12_chat_windows": op12_chat_windows,
 }
 ORACLE: dict[str, str] = {
     "op6_decontamination": oracle.DECONTAMINATION,
     "op8_warc": oracle.WARC,
+    "op12_chat_windows": oracle.CHAT,
 }
