@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codemix.llm import (
-    ann, chat, decontam, oracle, pii, secrets, sentencepiece_bpe, sharding, simhash, token_files, toxicity,
+    alignment, ann, chat, decontam, oracle, pii, secrets, sentencepiece_bpe, sharding, simhash, token_files, toxicity,
     warc,
 )
 from codemix.llm.common import table
@@ -57,6 +57,11 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_alignment(spark, sf_dir):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf_dir, "documents"), *paths)
+
+
 def op12_chat_windows(spark, sf_dir):
     return chat.digest(chat.windows(chat.with_hostile(table(spark, sf_dir, "conversations"))))
 
@@ -73,6 +78,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_pii": op9_pii,
     "op10_secret_scan": op10_secret_scan,
+    "op11_alignment": op11_alignment,
     "op12_chat_windows": op12_chat_windows,
 }
 ORACLE: dict[str, str] = {

@@ -1,0 +1,152 @@
+"""Alignment against the libraries and plain loops over bytes, and the products against dense ones."""
+
+import hashlib
+import random
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+from codemix.llm import alignment, csr, queries
+from codemix.llm.common import table
+
+A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+HARD = [
+    None, "", " ", "  ", "a", " a", "a ", "a  b", "\ta\nb ", "x\n\n y", "▁x", "a ▁ b", "<|endoftext|> <s> </s>",
+    "one<|endoftext|>two", "café naïve \U0001f600\U0001f600", "中文字符 текст", "\x01 a\x01b", "a\x1cb \x1f c",
+    "a b   c", "word " * 3000, "x" * 20000, "ab1" * 7000, "don't I'll we've", "\x00 \x7f", "́ é", " \n ", "1 2  3",
+]
+
+
+def plain(texts):
+    """Rows of the contract by loops over tokens and bytes."""
+    library = Tokenizer.from_file(A)
+    library.encode_special_tokens = True
+    pieces = sentencepiece.SentencePieceProcessor(model_file=B)
+    byte_of = alignment._byte_characters()
+    names = {i: t for t, i in library.get_vocab().items()}
+    docs = []
+    for text in texts:
+        if not text:
+            docs.append(None)
+            continue
+        a = library.encode(" " + text, add_special_tokens=False).ids
+        b = pieces.encode(text, num_threads=1)
+        a_bytes = [bytes(byte_of[c] for c in names[i]) for i in a]
+        b_bytes = [
+            bytes([int(pieces.id_to_piece(i)[3:5], 16)]) if pieces.is_byte(i) else pieces.id_to_piece(i).replace("▁", " ").encode()
+            for i in b
+        ]
+        whole = (" " + text).encode()
+        if b"".join(a_bytes) != whole or b"".join(b_bytes) != whole:
+            docs.append(None)
+            continue
+        a_of = [k for k, t in enumerate(a_bytes) for _ in t]
+        b_of = [k for k, t in enumerate(b_bytes) for _ in t]
+        linked = sorted(set(zip(a_of, b_of)))
+        groups, left, right = [], [a[0]], [b[0]]
+        for (i, k), (j, m) in zip(zip(a_of, b_of), zip(a_of[1:], b_of[1:])):
+            if i != j and k != m:
+                groups.append((left, right))
+                left, right = [a[j]], [b[m]]
+                continue
+            left += [a[j]] if i != j else []
+            right += [b[m]] if k != m else []
+        groups.append((left, right))
+        docs.append((a, b, linked, groups))
+    held = Counter(pair for d in docs if d for pair in {(d[0][i], d[1][k]) for i, k in d[2]})
+    best = defaultdict(int)
+    for (i, _), n in held.items():
+        best[i] = max(best[i], n)
+    for d in docs:
+        if d is None:
+            yield 0, 0, 0, 0, 0, 0, 0, ""
+            continue
+        a, b, linked, groups = d
+        counts = [held[a[i], b[k]] for i, k in linked]
+        listed = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        yield (
+            len(a), len(b), len(groups), len(linked), sum(n == best[a[i]] for n, (i, _) in zip(counts, linked)), sum(counts),
+            sum(len(x) * len(y) for x, y in groups), hashlib.sha256(listed.encode()).hexdigest(),
+        )
+
+
+def check(got, ids, texts):
+    want = Counter((i, *row) for i, row in zip(ids, plain(texts)))
+    assert Counter(map(tuple, got)) == want
+
+
+@pytest.mark.parametrize("broadcast", [0, 1_000_000])
+def test_hard_texts(docs, monkeypatch, broadcast):
+    monkeypatch.setattr(alignment, "MAX_BROADCAST", broadcast)
+    texts = HARD + HARD[::3]
+    ids = [None, *range(len(texts) - 1)]
+    check(alignment.align(docs(list(zip(ids, texts))), A, B).collect(), ids, texts)
+
+
+def test_small_cache_and_blocks(monkeypatch):
+    """Batch after batch, with a cache and blocks that hold little."""
+    import pyarrow as pa
+
+    draw = random.Random(3)
+    texts = [t for t in HARD if t is None or len(t) < 3000]
+    for _ in range(60):
+        texts.append("".join(draw.choice(["a", "the", " ", " ", "\n", "Z9", "é", ".", "  "]) for _ in range(draw.randrange(60))))
+    whole = alignment.Aligner(A, B).batch(pa.array(texts))
+    monkeypatch.setattr(alignment, "CACHED", 40)
+    monkeypatch.setattr(alignment, "BLOCK", 64)
+    small = alignment.Aligner(A, B)
+    at = 0
+    for begin in range(0, len(texts), 7):
+        numbers, groups, pairs, times, bounds = small.batch(pa.array(texts[begin:begin + 7]))
+        n = len(numbers)
+        assert (numbers == whole[0][at:at + n]).all() and groups == whole[1][at:at + n]
+        begin_, end_ = whole[4][at], whole[4][at + n]
+        assert (pairs == whole[2][begin_:end_]).all() and (times == whole[3][begin_:end_]).all()
+        at += n
+
+
+def test_given_documents(spark, small):
+    rows = table(spark, small, "documents").select("doc_id", "text").collect()
+    got = queries.QUERIES["op11_alignment"](spark, small).collect()
+    check(got, [r.doc_id for r in rows], [r.text for r in rows])
+
+
+def test_links(docs):
+    texts = ["don't <|endoftext|>", None, "café \U0001f600 " * 30]
+    rows = docs(list(enumerate(texts)))
+    found = alignment.links(rows, A, B).collect()
+    shared = alignment.links(rows, A, B, shared=True).collect()
+    for i, (n, row) in enumerate(zip([len(t or "") for t in texts], plain(texts))):
+        mine = [r for r in found if r.doc_id == i]
+        assert len(mine) == row[3] and sum(r.bytes for r in mine) == (len((" " + texts[i]).encode()) if n else 0)
+        together = [r for r in shared if r.doc_id == i]
+        assert len(together) == row[6] and {r[1:] for r in mine} == {r[1:] for r in together if r.bytes}
+
+
+@pytest.mark.parametrize("terms", [1, 7, 1 << 20])
+def test_products(terms):
+    draw = np.random.default_rng(1)
+    for _ in range(30):
+        n, k, m = draw.integers(1, 9, 3)
+        dense = [draw.random((n, k)) < 0.4, draw.random((k, m)) < 0.4]
+        a, b = (csr.Csr(np.r_[0, np.cumsum(d.sum(1))], np.nonzero(d)[1], d.shape[1]) for d in dense)
+        out = np.zeros((n, m), int)
+        places = []
+        for row, column, value in csr.product(a, b, terms):
+            out[row, column] += value
+            places += zip(row.tolist(), column.tolist())
+        assert (out == dense[0].astype(int) @ dense[1].astype(int)).all() and places == sorted(set(places))
+        t = csr.transposed(a)
+        back = np.zeros((k, n), bool)
+        back[np.repeat(np.arange(k), np.diff(t.indptr)), t.indices] = True
+        assert (back == dense[0].T).all()
+        x = draw.integers(0, 9, k)
+        assert (csr.times_vector(a, x) == dense[0] @ x).all()
+
+
+def test_no_rows(docs):
+    assert alignment.align(docs([]), A, B).collect() == []
