@@ -81,3 +81,37 @@ SELECT g.conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BI
   sha256(loss) AS loss_sha256, formatted_chars
 FROM g JOIN q ON q.conv_id = g.conv_id
 """
+
+COLLOCATIONS = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+o AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+  FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+g AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM o)
+  GROUP BY lang, k, phrase HAVING count(*) >= 100),
+c AS (
+  SELECT lang, k, phrase, f, string_split(phrase, ' ') AS v, unnest(range(1, k)) AS cut FROM g WHERE k > 1),
+s AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.cut, h.f AS l, e.f AS r, t.n,
+    CAST((CAST(1000 AS HUGEINT) * c.f * t.n) // (CAST(h.f AS HUGEINT) * e.f) AS BIGINT) AS score
+  FROM c JOIN g h ON h.lang = c.lang AND h.phrase = array_to_string(c.v[1:c.cut], ' ')
+  JOIN g e ON e.lang = c.lang AND e.phrase = array_to_string(c.v[c.cut + 1:], ' ')
+  JOIN t ON t.lang = c.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS first FROM s),
+i AS (
+  SELECT DISTINCT lang, f, array_to_string(v[x:x + y - 1], ' ') AS phrase
+  FROM (SELECT lang, f, k, v, y, unnest(range(1, k - y + 2)) AS x
+        FROM (SELECT DISTINCT lang, f, k, v, unnest(range(2, k)) AS y FROM c WHERE k > 2))),
+d AS (
+  SELECT lang, phrase, a, l, r, n, score FROM b
+  WHERE first = 1 AND NOT EXISTS (
+    SELECT 1 FROM i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.f >= 100 * b.a)),
+x AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
+SELECT lang, rank, phrase, a, l, r, n, score FROM x WHERE rank <= 2000
+"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from codemix.llm import (
-    alignment, ann, chat, decontam, oracle, pii, secrets, sentencepiece_bpe, sharding, simhash, token_files, toxicity,
+    alignment, ann, chat, collocations, decontam, oracle, pii, secrets, sentencepiece_bpe, sharding, simhash, token_files, toxicity,
     warc,
 )
 from codemix.llm.common import table
@@ -66,6 +66,10 @@ def op12_chat_windows(spark, sf_dir):
     return chat.digest(chat.windows(chat.with_hostile(table(spark, sf_dir, "conversations"))))
 
 
+def op13_collocations(spark, sf_dir):
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_token_files": op1_token_files,
@@ -80,9 +84,11 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_alignment": op11_alignment,
     "op12_chat_windows": op12_chat_windows,
+    "op13_collocations": op13_collocations,
 }
 ORACLE: dict[str, str] = {
     "op6_decontamination": oracle.DECONTAMINATION,
     "op8_warc": oracle.WARC,
     "op12_chat_windows": oracle.CHAT,
+    "op13_collocations": oracle.COLLOCATIONS,
 }
