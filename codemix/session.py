@@ -40,15 +40,20 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
+def stored(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """Write a table to the shared folder; the table read back, and its folder."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
     For intermediate results that several later passes read: they are computed
     once, survive the loss of executors, and stay columnar.
     """
-    path = shared_folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return stored(df, purpose)[0]
 
 
 def spread(df: DataFrame) -> DataFrame:
