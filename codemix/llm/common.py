@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from codemix.session import written
+from codemix.session import remove, stored, written
 
 ROW = "__row"
 
@@ -41,4 +41,4 @@ def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-__all__ = ["ROW", "ascii_lower", "bounded_batches", "keyed", "table", "unsigned_hash", "written"]
+__all__ = ["ROW", "ascii_lower", "bounded_batches", "keyed", "remove", "stored", "table", "unsigned_hash", "written"]

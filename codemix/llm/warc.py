@@ -24,17 +24,23 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codemix.llm.common import bounded_batches, written
+from codemix.llm.common import bounded_batches, remove, stored, written
 from codemix.llm.files import committed, opened
 from codemix.session import shared_folder
 
 REVISIT_BYTES = 1000
 FILE_BYTES = 64 << 20
+#: Most shared payloads whose digests are broadcast; more are joined by shuffling.
+MAX_BROADCAST = 1_000_000
 RANGE_BYTES = 4 << 20
+#: Ranges that a task reads when there are many.
+RANGES_PER_TASK = 16
 #: What is read behind a range for headers; one that goes on is read by itself.
 HEADER_BYTES = 1 << 20
 MAGIC = b"WARC/1."
-_BEGINNING = re.compile(rb"WARC/1\.[0-9]+\r\n[^\r\n:]+:")
+#: A record's first line; no field is like it, so that no header holds another one's.
+_FIRST = re.compile(rb"WARC/1\.[0-9]+\r\n")
+_LENGTH = re.compile(rb"(?i)[ \t]*content-length[ \t]*:")
 DATE = "2020-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD_ID = re.compile(rb"<urn:x-page:(-?[0-9]+|none)>")
@@ -77,10 +83,12 @@ def records(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataF
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"),
         F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("size"),
     )
-    # only payloads that several pages have; counted before any shuffle
-    shared = rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(
+    # only payloads that several pages have; digests are shuffled, and payloads stay where they are
+    shared = written(rows.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(
         F.max("page_id").alias("first"), F.count("*").alias("n")
-    ).where("n > 1").select("digest", "first")
+    ).where("n > 1").select("digest", "first"), "warc-shared")
+    if shared.count() <= MAX_BROADCAST:
+        shared = F.broadcast(shared)
     revisit = (F.col("size") >= REVISIT_BYTES) & ~F.col("page_id").eqNullSafe(F.col("first"))
     return rows.join(shared, "digest", "left").select(
         "page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to")
@@ -127,20 +135,22 @@ def long_header(source, at: int, length: int) -> bytes:
         size *= 2
 
 
+def _length(value: bytes) -> int | None:
+    value = value.strip()
+    return int(value) if value.isdigit() and len(value) < 19 else None
+
+
 def header_at(data: bytes, at: int, rest=None) -> tuple[dict[bytes, bytes], int] | None:
     """The header's fields and its end, if a record could begin there. ``rest(at)`` gives
     a header that doesn't end within ``HEADER_BYTES``; it may end behind the data."""
-    if not data.startswith(MAGIC, at):
+    first = _FIRST.match(data, at)
+    if not first:
         return None
-    end, head = data.find(b"\r\n\r\n", at, at + HEADER_BYTES), None
-    if end >= 0:
-        head = data[at:end]
-    elif rest and _BEGINNING.match(data, at):
-        lines = data[at:at + HEADER_BYTES].split(b"\r\n")
-        if all(b":" in line for line in lines[1:-1]):
-            head, found, _ = rest(at).partition(b"\r\n\r\n")
-            head = head if found else None
-    if head is None:
+    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
+    head, found = data[at:end], end >= 0
+    if not found and rest:
+        head, found, _ = rest(at).partition(b"\r\n\r\n")
+    if not found:
         return None
     fields = {}
     for line in head.split(b"\r\n")[1:]:
@@ -148,20 +158,62 @@ def header_at(data: bytes, at: int, rest=None) -> tuple[dict[bytes, bytes], int]
         if not colon:
             return None
         fields.setdefault(key.strip().lower(), value.strip())
-    size = fields.get(b"content-length", b"")
-    return (fields, at + len(head) + 4) if size.isdigit() and len(size) < 19 else None
+    size = _length(fields.get(b"content-length", b""))
+    return None if size is None else (fields, at + len(head) + 4)
 
 
 def candidates(data: bytes, begin: int, end: int, base: int, rest=None) -> dict[int, int]:
     """Candidate starts in data[begin:end] and where the next record would be, as file
-    offsets; ``base`` is the offset of data[0]."""
-    found, at = {}, data.find(MAGIC, begin, end + len(MAGIC) - 1)
-    while at >= 0:
-        head = header_at(data, at, rest)
-        if head:
-            found[base + at] = base + head[1] + int(head[0][b"content-length"]) + 4
-        at = data.find(MAGIC, at + 1, end + len(MAGIC) - 1)
-    return found
+    offsets; ``base`` is the offset of data[0].
+
+    Every line is read once, whatever candidates have it in their headers: what follows
+    from a line on, the header's end and its first length, is kept.
+    """
+    known: dict[int, tuple[int, bytes | None] | None] = {}
+
+    def behind(at: int) -> tuple[int, bytes | None] | None:
+        """The same for the last line, which goes on behind the data."""
+        text = rest(at) if rest else b""
+        if text.startswith(b"\r\n"):
+            return at + 2, None
+        head, found, _ = text.partition(b"\r\n\r\n")
+        lines = head.split(b"\r\n")
+        if not found or not all(b":" in line for line in lines):
+            return None
+        named = [line.partition(b":")[2] for line in lines if _LENGTH.match(line)]
+        return at + len(head) + 4, named[0] if named else None
+
+    def follow(at: int) -> tuple[int, bytes | None] | None:
+        """The header's end and length from a line on; None if it holds a line that is no field."""
+        lines = []
+        while at not in known:
+            line_end = data.find(b"\r\n", at)
+            if line_end < 0:
+                known[at] = behind(at)
+            elif line_end == at:
+                known[at] = at + 2, None
+            elif data.find(b":", at, line_end) < 0:
+                known[at] = None
+            else:
+                lines.append((at, line_end))
+                at = line_end + 2
+        found = known[at]
+        for at, line_end in reversed(lines):
+            if found and (named := _LENGTH.match(data, at, line_end)):
+                found = found[0], data[named.end():line_end]
+            known[at] = found
+        return found
+
+    out = {}
+    for first in _FIRST.finditer(data, begin):
+        at = first.start()
+        if at >= end:
+            break
+        found = follow(first.end())
+        size = _length(found[1] or b"") if found else None
+        if size is not None:
+            out[base + at] = base + found[0] + size + 4
+    return out
 
 
 def exits(successors: dict[int, int], end: int) -> dict[int, int]:
@@ -187,8 +239,9 @@ def _ranges(spark: SparkSession, folder: str, size: int) -> DataFrame:
 
 
 def _per_range(df: DataFrame, folder: str, function, schema: str) -> DataFrame:
-    """Rows that ``function(open file, row)`` gives for every row (file, ...)."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Rows that ``function(open file, row)`` gives for every row (file, length, ...) of a stored table."""
+    # a row stands for a range: as many tasks as Spark is set to, and more for many ranges
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // RANGES_PER_TASK)
     target = pa.schema([
         pa.field(n, {"string": pa.string(), "long": pa.int64()}[t]) for n, t in (x.split() for x in schema.split(", "))
     ])
@@ -207,7 +260,7 @@ def _per_range(df: DataFrame, folder: str, function, schema: str) -> DataFrame:
 def reached_entries(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(file, length, at): the first record of each range that the chain from the file's
     start reaches."""
-    ranges = _ranges(spark, folder, range_bytes)
+    ranges = written(_ranges(spark, folder, range_bytes), "warc-ranges")
 
     def jumps(source, row):
         begin, end = row["begin"], min(row["begin"] + range_bytes, row["length"])
@@ -216,18 +269,22 @@ def reached_entries(spark: SparkSession, folder: str, range_bytes: int = RANGE_B
         leads = exits(candidates(data, 0, end - begin, begin, rest), end)
         return [{"file": row["file"], "at": at, "to": to} for at, to in leads.items()]
 
-    jump = written(_per_range(ranges, folder, jumps, "file string, at long, to long"), "warc-jumps")
+    jump, jumps_at = stored(_per_range(ranges, folder, jumps, "file string, at long, to long"), "warc-jumps")
     files = ranges.where("begin = 0").select("file", "length")
-    reached = files.select("file", F.lit(0).cast("long").alias("at"))
+    reached, reached_at = files.select("file", F.lit(0).cast("long").alias("at")), None
     longest = ranges.agg(F.max("begin")).first()[0] or 0
     # a chain has a jump for each range at most, and jumps double every round
     rounds = math.ceil(math.log2(longest // range_bytes + 1)) + 1
     for k in range(rounds):
+        done = [p for p in (reached_at, jumps_at) if p]
         further = reached.join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))
-        reached = written(reached.union(further).distinct(), "warc-reached")
+        reached, reached_at = stored(reached.union(further).distinct(), "warc-reached")
         if k < rounds - 1:
             then = jump.select("file", F.col("at").alias("to"), F.col("to").alias("then"))
-            jump = written(jump.join(then, ["file", "to"]).select("file", "at", F.col("then").alias("to")), "warc-jumps")
+            then = jump.join(then, ["file", "to"]).select("file", "at", F.col("then").alias("to"))
+            jump, jumps_at = stored(then, "warc-jumps")
+        for path in done:  # a round's tables are read in the next one only
+            remove(spark, path)
     joined = written(reached.join(files, "file"), "warc-entries")
     whole = joined.where("at = length").select("file").distinct()
     broken = files.join(whole, "file", "left_anti").limit(5).collect()
@@ -244,7 +301,9 @@ def _page(value: bytes | None) -> int | None:
 def read(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every record.
 
-    Length and digest are those of the full payload; those of responses are checked.
+    Length and digest are those of the full payload; those of responses are checked. Ids that
+    a record's name doesn't have are null, records that repeat are rows of their own, other kinds of
+    records are left out, and a folder without records gives no rows.
     """
     bounded_batches(spark)
 

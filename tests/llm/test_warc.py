@@ -1,6 +1,9 @@
 """Archives: every record once, false starts inside payloads rejected, broken files refused."""
 
 import hashlib
+import os
+import random
+import time
 from collections import Counter
 
 import pytest
@@ -86,3 +89,46 @@ def test_no_rows(pages):
 def test_equals_sql(spark, small):
     sql = oracle_connection(small).sql(queries.ORACLE["op8_warc"])
     assert difference(queries.QUERIES["op8_warc"](spark, small), sql) is None
+
+
+@pytest.mark.parametrize("piece", [
+    b"WARC/1.1\r\n", b"WARC/1.1\r\na:b\r\n", b"WARC/1.", b"WARC/1.1 ", b"\r\n", b"a:b\r\n", b"WARC/1.1\r\nContent-Length: 9\r\n",
+    b"WARC/1.1\r\nContent-Length: 9\r\n\r\n", b"WARC/1.1\r\nX: ", b"WARC/1.111111111",
+])
+def test_magic_over_and_over(piece):
+    """Four million bytes take time in proportion to their number."""
+    data = b"WARC/1.1\r\nContent-Length: 5\r\n" + piece * ((4 << 20) // len(piece))
+    start = time.process_time()
+    warc.candidates(data, 0, len(data), 0, lambda at: data[at:])
+    assert time.process_time() - start < 4
+
+
+def test_candidates_are_all_places_with_a_header():
+    draw = random.Random(4)
+    parts = [b"WARC/1.1\r\n", b"WARC/1.0\r\n", b"Content-Length: 3\r\n", b"content-length:12\r\n", b"a: b\r\n", b"\r\n", b"x", b"no field\r\n"]
+    for _ in range(300):
+        data = b"".join(draw.choice(parts) for _ in range(draw.randrange(40)))
+        want = {}
+        for at in range(len(data)):
+            head = warc.header_at(data, at)
+            if head:
+                want[at + 7] = 7 + head[1] + int(head[0][b"content-length"]) + 4
+        assert warc.candidates(data, 0, len(data), 7) == want
+
+
+def test_finished_rounds_leave_no_tables(spark, pages, monkeypatch, tmp_path):
+    made = []
+    stored = warc.stored
+    monkeypatch.setattr(warc, "stored", lambda df, purpose: made.append(stored(df, purpose)) or made[-1])
+    folder = shared_folder(spark, "warc-test")
+    warc.write(pages(cases()).coalesce(1), folder).count()
+    assert warc.read(spark, folder, 700).count() == len(cases())
+    left = [path for _, path in made if os.path.exists(path)]
+    assert len(made) > 10 and len(left) == 1
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_shared_payloads_by_broadcast_or_not(spark, pages, monkeypatch, most):
+    monkeypatch.setattr(warc, "MAX_BROADCAST", most)
+    rows = cases()
+    assert Counter(map(tuple, warc.round_trip(pages(rows)).collect())) == Counter(expected(rows))
