@@ -58,10 +58,10 @@ def _tokenizer(path: str):
 class Encoder:
     """Encodes batches of texts with the byte-level BPE of a tokenizers file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, library=None):
         import json
 
-        self.library = _tokenizer(path)
+        self.library = library or _tokenizer(path)
         spec = json.loads(self.library.to_str())
         step = spec["pre_tokenizer"]
         if spec["normalizer"] or step["type"] != "ByteLevel" or step["add_prefix_space"] or not step["use_regex"]:
