@@ -34,16 +34,33 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(place)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it isn't there."""
+    files, place = _files(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library has written."""
     files, place = _files(spark, path)
     files.delete(place, True)
+    files.cancelDeleteOnExit(place)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the driver's JVM ends, however it does unless it is killed."""
+    files, place = _files(spark, path)
+    files.deleteOnExit(place)
 
 
 def stored(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
-    """Write a table to the shared folder; the table read back, and its folder."""
+    """Write a table to the shared folder; the table read back, and its folder.
+
+    The folder goes when the application ends: until then a result may read it again.
+    """
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.parquet(path), path
 
 
@@ -56,6 +73,14 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return stored(df, purpose)[0]
 
 
+def tasks_for(df: DataFrame, bytes_per_task: int = 256 << 20) -> int:
+    """Tasks for an exchange that adaptive execution can't split: as many as Spark is set to, and
+    more where the input, as stored, is so large that each would get more bytes than that."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return tasks if size >= 1 << 60 else max(tasks, size // bytes_per_task)  # a source that knows no size says 2^63
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Spread a small scan over all cores.
 

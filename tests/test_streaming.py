@@ -1,5 +1,7 @@
 """Streams over arriving files: same result as batch, exactly once, resumable."""
 
+import shutil
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,7 +77,8 @@ def test_answers_delivered_again_change_nothing(spark, small, tmp_path):
 
 
 def test_answers_without_an_id_are_set_apart(spark, small, tmp_path):
-    docs = documents(spark, small).limit(60).localCheckpoint()
+    documents(spark, small).limit(60).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
     inbox, sink, checkpoint = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "check")
     answers = V.responses_of(docs)
     answers = answers.withColumn("response_id", F.when(F.crc32(F.col("raw_text").cast("binary")) % 3 > 0, F.col("response_id")))
@@ -92,6 +95,73 @@ def test_answers_without_an_id_are_set_apart(spark, small, tmp_path):
     assert apart.select(lost.columns).exceptAll(lost.union(lost)).isEmpty()
 
 
+@pytest.mark.parametrize("lost", ["record", "half a record", "commit", "half the data"])
+def test_a_micro_batch_that_died_is_run_again(spark, small, tmp_path, lost):
+    """A crash between the data and the record, in the record's write, behind it, or in the data's write."""
+    docs = documents(spark, small)
+    inbox, sink, checkpoint = tmp_path / "in", tmp_path / "out", tmp_path / "check"
+    arrive(docs, inbox, 0, 2)
+
+    def run():
+        stream = spark.readStream.schema(docs.schema).parquet(str(inbox))
+        I.start_ingest(V.responses_of(stream), str(sink), str(checkpoint)).awaitTermination()
+        return I.read_sink(spark, str(sink))
+
+    record = tmp_path / "out-log" / "number-0"
+    if lost == "half the data":
+        (sink / "ingest=0" / "_temporary" / "0").mkdir(parents=True)
+        (sink / "ingest=0" / "_temporary" / "0" / "part-0.parquet").write_bytes(b"PAR1 cut off")
+        assert I.read_sink(spark, str(sink)) is None
+    else:
+        run()
+        (checkpoint / "commits" / "0").unlink()
+        (checkpoint / "commits" / ".0.crc").unlink()
+        if lost != "commit":
+            shutil.rmtree(record)
+            assert I.read_sink(spark, str(sink)) is None
+        if lost == "half a record":
+            (record / "_temporary" / "0").mkdir(parents=True)
+    expected = parse_responses(V.responses_of(docs.filter("doc_id % 2 = 0")))
+    again = run()
+    assert again.count() == expected.count() > 0
+    assert again.select(expected.columns).exceptAll(expected).count() == 0
+    last = I.last_commit(spark, str(sink))
+    assert (last.number, last.batch, last.total_utterances) == (0, 0, expected.count())
+    arrive(docs, inbox, 1, 2)
+    arrive(docs, inbox, 0, 2)
+    assert run().count() == parse_responses(V.responses_of(docs)).count()
+
+
+def test_a_new_stream_leaves_out_what_is_stored(spark, small, tmp_path):
+    docs = documents(spark, small)
+    sink = str(tmp_path / "out")
+    for part in range(3):  # a stream of its own each time, with ids that overlap
+        inbox = tmp_path / f"in{part}"
+        arrive(docs, inbox, part, 3)
+        arrive(docs, inbox, 0, 3)
+        stream = spark.readStream.schema(docs.schema).parquet(str(inbox))
+        I.start_ingest(V.responses_of(stream), sink, str(tmp_path / f"check{part}")).awaitTermination()
+    expected = parse_responses(V.responses_of(docs))
+    last = I.last_commit(spark, sink)
+    assert I.read_sink(spark, sink).count() == expected.count() == last.total_utterances
+    assert last.total_conversations == expected.select("response_id").distinct().count()
+    assert last.cs_utterances == expected.filter("has_code_switch = 'yes'").count()
+
+
+def test_a_micro_batch_reads_no_stored_rows(spark, small, tmp_path, monkeypatch):
+    """Ids are kept as the stream's state and totals in the log: the sink is not read."""
+    docs = documents(spark, small)
+    inbox, sink = tmp_path / "in", str(tmp_path / "out")
+    for part in range(3):
+        arrive(docs.coalesce(1), inbox, part, 3)
+    monkeypatch.setattr(I, "read_sink", None)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(inbox))
+    I.start_ingest(V.responses_of(stream), sink, str(tmp_path / "check"), target=1e-9).awaitTermination()
+    monkeypatch.undo()
+    assert I.last_commit(spark, sink).number == 2
+    assert I.read_sink(spark, sink).count() == parse_responses(V.responses_of(docs)).count()
+
+
 def test_the_stream_ends_at_the_target(spark, small, tmp_path):
     docs = documents(spark, small)
     for part in range(4):
@@ -100,7 +170,7 @@ def test_the_stream_ends_at_the_target(spark, small, tmp_path):
     sink = str(tmp_path / "out")
     # any rate is at or below this target, so the first micro-batch reaches it
     I.ingest_until(V.responses_of(stream), sink, str(tmp_path / "check"), target=1.0, seconds=1.0)
-    stored = spark.read.parquet(sink)
+    stored = I.read_sink(spark, sink)
     assert [r.ingest for r in stored.select("ingest").distinct().collect()] == [0]
     assert I.needed(stored, 1.0) == 0
 
