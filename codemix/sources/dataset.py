@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codemix import schema
 from codemix.session import with_computed
+from codemix.sources import ranges
 
 # A JSON line holds at most this many utterances; a longer conversation goes
 # on in further lines, so no task ever gathers a whole one.
@@ -25,10 +26,9 @@ def _stored(tagged: Column) -> Column:
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document `{metadata, conversations}`.
+    """One JSON document `{metadata, conversations}` in one row, read by one task.
 
-    Such a document cannot be split, so a single task reads it: use it to take
-    over an existing dataset, then write it with :func:`write_conversations`.
+    For small documents; :func:`read_document_conversations` reads one of any size by many tasks.
     """
     return spark.read.schema(schema.DOCUMENT).option("multiLine", True).json(path)
 
@@ -45,6 +45,23 @@ def document_conversations(document: DataFrame) -> DataFrame:
     )
 
 
+def read_document_conversations(spark: SparkSession, path: str) -> DataFrame:
+    """The conversations of one JSON document as of :func:`document_conversations`, read by as
+    many tasks as the file has splits; a conversation is read by one."""
+    elements = ranges.json_elements(spark, path, "conversations")
+    return elements.select(
+        F.col("position").cast("bigint").alias("conv_pos"), F.lit(0).cast("bigint").alias("part"),
+        F.from_json("element", schema.STORED_CONVERSATION).alias("c"),
+    ).select("conv_pos", "part", "c.*")
+
+
+def read_document_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """The metadata of one JSON document, without reading its conversations into one row."""
+    return ranges.json_object(spark, path, "metadata").select(
+        F.from_json("element", schema.METADATA).alias("m")
+    ).select("m.*")
+
+
 def headers(conversations: DataFrame) -> DataFrame:
     """One row per conversation: of one that goes on in further lines only the first."""
     if "part" not in conversations.columns:
@@ -138,11 +155,13 @@ def write_export(export: DataFrame, path: str) -> None:
 
 
 def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """Empty cells come back as NULL."""
-    return spark.read.csv(
-        path, schema=schema.EXPORT, header=True, multiLine=True, escape='"',
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
-    )
+    """Empty cells come back as NULL. A file is read by as many tasks as it has splits, also
+    if its cells hold line ends."""
+    columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.EXPORT.fields)
+    cells = F.from_csv("record", columns, {
+        "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    })
+    return ranges.csv_records(spark, path).select(cells.alias("row")).select("row.*")
 
 
 def output_path(path: str, step: str) -> str:
