@@ -375,23 +375,26 @@ def _weights(spark, sf):
     examples = _examples_table(spark, sf)
     # every later pass reads the terms, none splits the texts again
     events = written(X.term_events(examples), "events")
-    return events, X.idf_weights(events, X.vocabulary(events), X.count_prefixes(examples))
+    return examples, events, X.idf_weights(events, X.vocabulary(events), X.count_prefixes(examples))
 
 
 def idf_weights(spark, sf):
-    return _weights(spark, sf)[1]
+    return _weights(spark, sf)[2]
 
 
 def tfidf(spark, sf):
-    return X.full_context_tfidf(*_weights(spark, sf))
+    _, events, weights = _weights(spark, sf)
+    return X.full_context_tfidf(events, weights)
 
 
 def tfidf_norms(spark, sf):
-    return X.prefix_norms(*_weights(spark, sf))
+    examples, _, weights = _weights(spark, sf)
+    return X.prefix_norms(examples, weights)
 
 
 def tfidf_mass(spark, sf):
-    return X.term_mass(*_weights(spark, sf))
+    examples, _, weights = _weights(spark, sf)
+    return X.term_mass(examples, weights)
 
 
 def _split(spark, sf):
@@ -457,7 +460,7 @@ def stream_ingest(spark, sf):
     folder = shared_folder(spark, "ingest")
     arriving = V.responses_of(_stream(spark, sf, "documents"))
     I.start_ingest(arriving, f"{folder}/utterances", f"{folder}/checkpoint").awaitTermination()
-    return _parsed(spark.read.parquet(f"{folder}/utterances"))
+    return _parsed(I.read_sink(spark, f"{folder}/utterances"))
 
 
 def stream_cs_rate(spark, sf):
