@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codemix.functions import sequences as S, tagging as G
 from codemix.operators.ordering import median, ranked_values
-from codemix.session import with_computed
+from codemix.session import with_computed, written
 from codemix.sources.dataset import headers
 
 # Targets, verdict limits and the sizes used by the top-up.
@@ -132,9 +131,10 @@ def cs_only_stats(utterances: DataFrame) -> DataFrame:
     counts = with_computed(
         _languages(utterances), es=F.col("n_es").cast("bigint"), en=F.col("n_en").cast("bigint")
     )
-    rows = counts.groupBy(F.col("es").alias("n_es"), F.col("en").alias("n_en")).agg(
+    # stored, as the summary and the levels of the median go over it: texts are tagged once
+    rows = written(counts.groupBy(F.col("es").alias("n_es"), F.col("en").alias("n_en")).agg(
         F.count("*").alias("rows")
-    )
+    ), "language-counts")
     mixed = rows.filter((F.col("n_es") > 0) & (F.col("n_en") > 0)).select(
         (F.col("n_es") + F.col("n_en")).alias("length"),
         (F.col("n_es") / (F.col("n_es") + F.col("n_en")) * 100).alias("share"), "rows",
@@ -397,32 +397,64 @@ def rank_test(ranked: DataFrame) -> DataFrame:
             F.greatest(F.col("u1"), product - F.col("u1")) - F.col("mean_u") - 0.5, F.col("sigma")
         ),
     )
-    p = F.udf(_p_value, "double")("n1", "n2", "u1", "z", F.col("ties") > 0)
-    return tested.withColumn("p_value", p).select(
+    return tested.withColumn("p_value", _p_value()).select(
         "n1", "n2", F.col("u1").alias("u"), "mean_u", "sigma", "z", "p_value",
         F.when(F.col("p_value") < SIGNIFICANCE, "significant").otherwise("not significant")
         .alias("verdict"),
     )
 
 
-def _p_value(n1, n2, u1, z, ties):
-    """One row only: Spark has no error function.
+#: Terms of the error function's series and levels of its continued fraction, which meet at _NEAR.
+_SERIES, _FRACTION, _NEAR = 60, 100, 2.0
+#: The largest smaller sample whose distribution of U is counted.
+_COUNTED = 8
+
+
+def erfc(x: Column) -> Column:
+    """The complementary error function of numbers from about -2 on, to some 14 digits.
+
+    Near zero 1 - erf by its series of positive terms, farther off the continued fraction.
+    """
+    half, steps = 2 * x * x, lambda n: F.sequence(F.lit(1), F.lit(n))
+    tail = F.aggregate(
+        steps(_SERIES), F.lit(1.0), lambda s, k: F.lit(1.0) + half / (2 * (_SERIES + 1 - k) + 1).cast("double") * s
+    )
+    near = 1 - 2 / math.sqrt(math.pi) * x * F.exp(-x * x) * tail
+    below = F.aggregate(steps(_FRACTION), x, lambda f, k: x + (_FRACTION + 1 - k).cast("double") / 2 / f)
+    return F.when(x < _NEAR, near).otherwise(F.exp(-x * x) / (math.sqrt(math.pi) * below))
+
+
+def _splits(small: Column, large: Column) -> Column:
+    """How many splits of the ranks have U = 0, 1, ...: the coefficients of a Gaussian binomial.
+
+    Going from i - 1 to i values in the smaller sample multiplies by 1 - q^(large + i)
+    and divides by 1 - q^i, each a pass over the array. Whole numbers of 38 digits.
+    """
+    whole = lambda c: c.cast("decimal(38,0)")
+    zero, size = whole(F.lit(0)), (small * large + 1).cast("int")
+    at = lambda a, j: F.coalesce(F.get(a, j.cast("int")), zero)
+
+    def step(ways: Column, i: Column) -> Column:
+        less = F.transform(ways, lambda x, j: whole(x - F.when(j >= large + i, at(ways, j - large - i)).otherwise(zero)))
+        return F.aggregate(less, F.array().cast("array<decimal(38,0)>"), lambda done, x: F.concat(
+            done, F.array(whole(x + F.when(F.size(done) >= i, at(done, F.size(done) - i)).otherwise(zero)))
+        ))
+
+    one = F.transform(F.sequence(F.lit(1), size), lambda j: F.when(j == 1, whole(F.lit(1))).otherwise(zero))
+    return F.aggregate(F.sequence(F.lit(1), small.cast("int")), one, step)
+
+
+def _p_value() -> Column:
+    """Two-sided, of one row with `n1, n2, u1, z, ties`; NULL without two samples.
 
     Without ties and with at most eight values in a sample the distribution of
     U is counted exactly, otherwise the normal approximation is used.
     """
-    if not n1 or not n2:
-        return None
-    if min(n1, n2) > 8 or ties:
-        return min(1.0, math.erfc(z / math.sqrt(2))) if z is not None else None
-    small, large = sorted((int(n1), int(n2)))
-    # ways[k][u]: choices of k of the values seen so far with statistic u.
-    ways = np.zeros((small + 1, small * large + 1))
-    ways[0][0] = 1.0
-    for position in range(small + large):
-        for k in range(min(small, position + 1), 0, -1):
-            shift = position - (k - 1)
-            if shift <= small * large:
-                ways[k][shift:] += ways[k - 1][: small * large + 1 - shift]
-    top = int(max(u1, n1 * n2 - u1))
-    return min(1.0, float(2 * ways[small][top:].sum() / math.comb(small + large, small)))
+    n1, n2 = F.col("n1"), F.col("n2")
+    ways = _splits(F.least(n1, n2), F.greatest(n1, n2))
+    add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    top = F.greatest(F.col("u1"), n1 * n2 - F.col("u1")).cast("int")
+    ends = F.transform(F.array(ways), lambda w: 2 * add(F.slice(w, top + 1, F.size(w) - top)) / add(w))[0]
+    counted = (F.least(n1, n2) <= _COUNTED) & ~(F.col("ties") > 0)
+    p = F.when(counted, ends).otherwise(erfc(F.col("z") / math.sqrt(2)))
+    return F.when((n1 > 0) & (n2 > 0), F.when(p.isNotNull(), F.least(p, F.lit(1.0))))

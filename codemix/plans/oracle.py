@@ -556,6 +556,20 @@ MANN_WHITNEY = """
                 FROM {source} GROUP BY x))))"""
 
 
+# The normal approximation, which samples with ties or of more than eight values take. The error
+# function by its series below 2 and by its continued fraction above.
+P_VALUE = """
+    SELECT n1, n2, u, mean_u, round(sigma, 6) AS sigma, round(z, 6) AS z, round(p, 6) AS p_value,
+      CASE WHEN p < 0.05 THEN 'significant' ELSE 'not significant' END AS verdict
+    FROM (SELECT *, least(1.0, CASE WHEN x < 2
+          THEN 1 - 2 / sqrt(pi()) * x * exp(-x * x) * list_reduce(
+            list_prepend(1.0::DOUBLE, list_transform(range(1, 61), k -> (2 * (61 - k) + 1)::DOUBLE)),
+            (s, d) -> 1 + 2 * x * x / d * s)
+          ELSE exp(-x * x) / (sqrt(pi()) * list_reduce(
+            list_prepend(x, list_transform(range(1, 101), k -> (101 - k)::DOUBLE / 2)), (f, a) -> x + a / f)) END) AS p
+      FROM (SELECT *, z / sqrt(2) AS x FROM ({source})))"""
+
+
 def strategy_prompt() -> str:
     cases = " ".join(
         f"WHEN {n} THEN replace({text(t)}, '{{topic}}', topic)" for n, t in STRATEGY_PROMPTS.items()
@@ -766,6 +780,9 @@ _FINAL = {
         x="token_count", first="has_code_switch = 'no'", second="has_code_switch = 'yes'",
         source="lengths",
     ),
+    "mann_whitney_p": P_VALUE.format(source=MANN_WHITNEY.format(
+        x="token_count", first="has_code_switch = 'no'", second="has_code_switch = 'yes'", source="lengths",
+    ).replace(", 6)", ", 15)")),
     "switch_examples": """
         SELECT conv_pos, utt_idx, string_agg(token, ' ' ORDER BY i) AS tokens,
           string_agg(lang, ' ' ORDER BY i) AS labels FROM seq WHERE n > 1 GROUP BY ALL""",

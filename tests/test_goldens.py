@@ -1,5 +1,8 @@
 """Cases worked out by hand from the rules."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -237,6 +240,29 @@ def test_mann_whitney_exact_without_ties(spark):
     assert row.u == 0.0 and row.p_value == pytest.approx(0.2)
 
 
+def test_error_function(spark):
+    xs = [-0.4, 0.0, 1e-9, 0.3, 1.0, 1.9999, 2.0, 2.5, 4.0, 9.0, 26.0, 40.0]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", A.erfc(F.col("x")).alias("y")).collect()
+    for r in rows:
+        assert r.y == pytest.approx(math.erfc(r.x), rel=1e-12, abs=1e-300)
+
+
+@pytest.mark.parametrize("n1, n2", [(1, 1), (1, 6), (2, 3), (8, 3), (5, 5), (8, 30), (4, 60)])
+def test_counted_distribution(spark, n1, n2):
+    """The tail of U over all splits of distinct lengths, counted value by value."""
+    rng = random.Random(n1 * 100 + n2)
+    values = rng.sample(range(1000), n1 + n2)
+    row = A.mann_whitney(lengths(spark, values[:n1], values[n1:])).first()
+    ways = [[1] + [0] * (n1 * n2)] + [[0] * (n1 * n2 + 1) for _ in range(n1)]
+    for position in range(n1 + n2):
+        for k in range(min(n1, position + 1), 0, -1):
+            shift = position - (k - 1)
+            for u in range(shift, n1 * n2 + 1):
+                ways[k][u] += ways[k - 1][u - shift]
+    top = int(max(row.u, n1 * n2 - row.u))
+    assert row.p_value == pytest.approx(min(1.0, 2 * sum(ways[n1][top:]) / math.comb(n1 + n2, n1)), rel=1e-12)
+
+
 @pytest.mark.parametrize("value, text", [
     (6.25, "6.2"), (18.75, "18.8"), (31.25, "31.2"), (1.25, "1.2"), (0.05, "0.1"),
     (0.35, "0.3"), (100 / 7, "14.3"), (100.0, "100.0"), (0.0, "0.0"),

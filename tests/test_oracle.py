@@ -8,8 +8,8 @@ from oracle_check import difference, oracle_connection
 from codemix.plans.oracle import ORACLE
 from codemix.plans.queries import QUERIES
 
-# Trained models and the p-value have no SQL; they have tests of their own.
-WITHOUT_SQL = {"mann_whitney_p", "logreg_eval", "forest_eval"}
+# Trained models have no SQL; they have tests of their own.
+WITHOUT_SQL = {"logreg_eval", "forest_eval"}
 
 
 @pytest.fixture(scope="module")
