@@ -31,7 +31,7 @@ BLANK = "\u2581"
 #: Parts that a Python worker keeps, about 500 bytes each.
 CACHED = 200_000
 #: Parts are aligned in blocks of about so many characters.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Most distinct id pairs in a broadcast table; more are joined by shuffling.
 MAX_BROADCAST = 1_000_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -135,15 +135,20 @@ class Aligner:
         self.b_lengths = np.array([len(x) for x in self.b.bytes], np.int64)
         if self.a.size * self.b.size >= 1 << 40:
             raise ValueError("vocabularies are too large for keys of id pairs")
-        self._forget()
-
-    def _forget(self) -> None:
         self.place: dict[str, int] = {}
         #: Per part: tokens of A and B, groups, pairs within groups, links; -1 tokens where bytes differ.
         self.numbers = np.zeros((0, 5), np.int64)
         self.keys, self.key_ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
         self.groups = np.zeros(0, object)
 
+    def _keep(self, parts: list[str]) -> None:
+        """Forget all but some parts."""
+        at = np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
+        self.numbers, self.groups = self.numbers[at], self.groups[at]
+        self.keys, counts = words.ragged(at, self.key_ends, self.keys)
+        self.key_ends = np.r_[0, np.cumsum(counts)]
+        self.place = dict(zip(parts, range(len(parts))))
+
     def tokens(self, parts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
         """A's and B's tokens of each part, and whether the bytes of both are the part's."""
         a, b = self.a.encode(parts), self.b.encode(parts)
@@ -193,9 +198,8 @@ class Aligner:
     def parts(self, distinct: list[str]) -> np.ndarray:
         """The places of distinct parts in what is known."""
         new = [p for p in distinct if p not in self.place]
-        if len(self.place) + len(new) > CACHED and self.place:
-            self._forget()
-            new = distinct
+        if len(self.place) + len(new) > CACHED:
+            self._keep([p for p in distinct if p in self.place])
         begin = 0
         while begin < len(new):
             end, size = begin, 0
@@ -298,7 +302,7 @@ def align(df: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_
     have rows of their own, and count as documents of their own; other columns are ignored; an
     empty table gives none.
     """
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, "4m")
     docs = keyed(df, doc_id=F.col(id_col).cast("long"), text=F.col(text_col))
     found = written(_documents(docs, a_path, b_path), "alignment")
     counts = written(pair_counts(found, Pieces(b_path).size), "alignment-pairs")
@@ -324,7 +328,7 @@ def links(
     overlap; the rows of a group are the square of its tokens. Cases as in ``align``; texts
     without tokens have no links.
     """
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, "4m")
     names = ["doc_id", "a_place", "b_place", "a", "b", "bytes"]
 
     def run(batches):
