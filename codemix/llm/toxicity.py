@@ -213,6 +213,10 @@ def score(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: st
 
 
 def remove_toxic(df: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
-    """The rows that the classifier doesn't reject, with all their columns."""
+    """The rows that the classifier doesn't reject, with all their columns.
+
+    Null and empty texts are scored like others, by the classifier's constant alone; repeated rows
+    stay or go together, and an empty table stays empty.
+    """
     bounded_batches(df.sparkSession)
     return df.where(_scorer(model)(F.col(text_col)) < 0.5)
