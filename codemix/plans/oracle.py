@@ -8,9 +8,33 @@ from __future__ import annotations
 
 import re
 
-from codemix.operators import planning as H
 from codemix.operators.prompts import BATCH_PROMPTS, STRATEGY_PROMPTS
 
+# Tones, personas and topics, written out anew so that the SQL does not take them from the code it checks.
+TONES = ["casual", "formal", "emotional", "humorous"]
+PERSONAS = [
+    ("Mexican-American student", "Anglo roommate"),
+    ("Dominican grandmother", "American granddaughter"),
+    ("Colombian engineer", "Indian colleague"),
+    ("Puerto Rican teacher", "Mixed-background parent"),
+]
+TOPICS = [
+    "weekend plans", "family dinner", "work meeting", "shopping trip",
+    "movie night", "cooking together", "travel planning", "school project",
+    "sports event", "birthday party", "restaurant visit", "health concerns",
+]
+BATCH_TOPICS = [
+    "weekend plans", "cooking dinner", "office meeting", "gym workout",
+    "movie review", "book club", "grocery shopping", "car repair",
+    "vacation planning", "birthday party", "home renovation", "pet care",
+    "weather chat", "sports game", "restaurant visit", "doctor appointment",
+    "school project", "job interview", "morning routine", "coffee break",
+    "hiking trip", "music concert", "art museum", "beach day",
+    "game night", "study session", "cleaning day", "garden work",
+    "family dinner", "online shopping", "tech support", "road trip",
+    "gardening tips", "cooking show", "fitness goals", "meditation session",
+]
+
 # Fixed values, written out here as well so that a wrong one in the operators shows.
 SPANISH_LETTERS = "ñáéíóúü"
 SPANISH_WORDS = [
@@ -142,7 +166,7 @@ PARTS: dict[str, str] = {
     # ---- conversations, lines, utterances
     "convs": f"""
         SELECT doc_id AS conv_pos, {at(STRATEGIES, 'doc_id % 8')} AS strategy,
-          {at(H.TOPICS, 'doc_id % 12')} AS topic FROM documents""",
+          {at(TOPICS, 'doc_id % 12')} AS topic FROM documents""",
     "raw_lines": """
         SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) AS k
         FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""",
@@ -283,7 +307,7 @@ PARTS: dict[str, str] = {
           'no' AS has_code_switch,
           CASE language WHEN 'spanish' THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS spanish_percentage,
           'monolingual_' || language AS strategy,
-          {at(H.BATCH_TOPICS, '(batch_id + segment - 1) % 36')} AS topic
+          {at(BATCH_TOPICS, '(batch_id + segment - 1) % 36')} AS topic
         FROM batch_said WHERE n_said >= 6""",
     "batch_convs": """
         SELECT batch_id, segment, strategy, topic,
@@ -488,16 +512,16 @@ PARTS.update({
           ELSE floor({uniform('doc_id', 'strategy')} * 8) + 1 END)::BIGINT AS strategy
         FROM documents""",
     "plan": f"""
-        SELECT i, strategy, CASE WHEN strategy = 3 THEN {choose(H.TONES, 'i', 'tone')} END AS tone,
+        SELECT i, strategy, CASE WHEN strategy = 3 THEN {choose(TONES, 'i', 'tone')} END AS tone,
           CASE strategy WHEN 1 THEN 'controlled_switch' WHEN 2 THEN 'role_based'
-            WHEN 3 THEN 'topic_variation_' || {choose(H.TONES, 'i', 'tone')}
+            WHEN 3 THEN 'topic_variation_' || {choose(TONES, 'i', 'tone')}
             WHEN 4 THEN 'back_translation' WHEN 5 THEN 'free_generation'
             WHEN 6 THEN 'monolingual_english' WHEN 7 THEN 'monolingual_spanish'
             ELSE 'minimal_switch' END AS strategy_name,
-          {choose(H.TOPICS, 'i', 'topic')} AS topic,
-          CASE WHEN strategy = 2 THEN {choose([a for a, _ in H.PERSONAS], 'i', 'persona')} END
+          {choose(TOPICS, 'i', 'topic')} AS topic,
+          CASE WHEN strategy = 2 THEN {choose([a for a, _ in PERSONAS], 'i', 'persona')} END
             AS persona_a,
-          CASE WHEN strategy = 2 THEN {choose([b for _, b in H.PERSONAS], 'i', 'persona')} END
+          CASE WHEN strategy = 2 THEN {choose([b for _, b in PERSONAS], 'i', 'persona')} END
             AS persona_b
         FROM plan_numbers""",
     "plan_points": """
@@ -514,7 +538,7 @@ PARTS.update({
           string_agg(nr || '. ' || t, chr(10) ORDER BY nr) AS numbered
         FROM (SELECT b, n, t, row_number() OVER (
                 PARTITION BY b ORDER BY md5(b || ':' || t || ':topics')) AS nr
-              FROM batch_plan, (SELECT unnest([{listed(H.BATCH_TOPICS)}]) AS t))
+              FROM batch_plan, (SELECT unnest([{listed(BATCH_TOPICS)}]) AS t))
         WHERE nr <= n GROUP BY b""",
 })
 
