@@ -171,7 +171,8 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A row of the result has the input row's key and the array ``spans`` of (start,
     order of kind, kind, end), sorted; offsets count code points, ends exclusive.
     A null or empty text has no span, a null or repeated id or a repeated row
-    keeps its own result, extra columns are ignored, an empty table gives none.
+    keeps its own result, extra columns are ignored, an empty table gives none. A text is
+    searched whole; its candidates' characters, a row each, are sorted in one task.
     """
     # stored, as several parts of the plan go on from it and the texts should be searched once
     found = written(_pattern_matches(df, id_col, text_col), "secrets").repartition(F.col(ROW))
@@ -195,7 +196,9 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     is_base = F.col("kind").isin(BASE_KINDS)
     along = Window.partitionBy(ROW).orderBy(F.col("start").asc_nulls_first(), F.col("kind"))
     ended = F.max(F.when(is_base, F.col("end"))).over(along.rowsBetween(Window.unboundedPreceding, 0))
-    begins = F.min(F.when(is_base, F.col("start"))).over(along.rowsBetween(0, Window.unboundedFollowing))
+    # the spans behind, as a frame that grows: one that shrinks is summed up anew for every row
+    back = Window.partitionBy(ROW).orderBy(F.col("start").desc_nulls_last(), F.col("kind").desc())
+    begins = F.min(F.when(is_base, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, 0))
     free = (F.coalesce(ended, F.lit(0)) <= F.col("start")) & (
         begins.isNull() | (begins >= F.col("end"))
     )

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from codemix.llm import secrets as S
@@ -135,3 +136,25 @@ def test_only_the_allowed_part_of_a_run_is_left_out(docs):
         "123e4567-e89b-12d3-a456-426614174000", "key-xxxxxxxxxxxxxxxxxxxxxxxx1", access,
     ]
     assert added_of(docs, nothing) == [[]] * len(nothing)
+
+
+def test_long_high_entropy_run(docs):
+    """One run of 200,000 characters: the plain scan's spans, in time that grows with its length."""
+    rng = random.Random(9)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = "".join(rng.choice(b64) for _ in range(200_000))
+    texts = [run, run[:90_000] + " token=" + run[90_000:90_040] + " " + run[90_040:]]
+    start = time.perf_counter()
+    got = S.digest(S.find_secrets(docs(list(enumerate(texts))))).collect()
+    assert time.perf_counter() - start < 60
+    for row, text in zip(sorted(got), texts):
+        base, expected = base_spans(text), []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+            for a in range(m.start(), m.end() - 19):
+                if entropy(text[a:a + 20]) < 3.75 - 1e-9 or any(s < a + 20 and a < e for _, s, e in base):
+                    continue
+                if expected and expected[-1][1] <= a <= expected[-1][2]:
+                    expected[-1][2] = a + 20
+                else:
+                    expected.append(["entropy_base64", a, a + 20])
+        assert row.spans == joined(base + expected) and len(expected) > 1
