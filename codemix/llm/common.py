@@ -13,16 +13,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keyed(df: DataFrame, **columns: Column) -> DataFrame:
+#: Most keys of rows that are broadcast to leave them out; more are joined by shuffling.
+MAX_BROADCAST = 1_000_000
+
+
+def keyed(df: DataFrame, key: str | None = None, **columns: Column) -> DataFrame:
     """The given columns and a key per row, so that ids may be null or repeated.
 
-    The key names the partition and place of a row in its scan. Do it in one
-    pass only, or on a written table, as places are those of that scan.
+    The key names the partition and place of a row in its scan, so use it in one
+    pass only, or give the name of a column that holds the rows' keys.
     """
-    return df.select(
-        F.monotonically_increasing_id().alias(ROW),
-        *[c.alias(name) for name, c in columns.items()],
-    )
+    row = F.col(f"`{key}`") if key else F.monotonically_increasing_id()
+    return df.select(row.alias(ROW), *[c.alias(name) for name, c in columns.items()])
+
+
+def with_key(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """The table stored with a key per row, under a name that no column has."""
+    name = ROW
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return written(df.withColumn(name, F.monotonically_increasing_id()), purpose), name
+
+
+def without_rows(rows: DataFrame, key: str, gone: DataFrame, purpose: str) -> DataFrame:
+    """The keyed rows but those whose keys ``gone`` has in its column ``ROW``; without the key."""
+    gone = written(gone.select(F.col(ROW).alias(key)), purpose)
+    if gone.count() <= MAX_BROADCAST:
+        gone = F.broadcast(gone)
+    return rows.join(gone, key, "left_anti").drop(key)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -41,4 +59,4 @@ def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-__all__ = ["ROW", "ascii_lower", "bounded_batches", "keyed", "remove", "stored", "table", "unsigned_hash", "written"]
+__all__ = ["ROW", "ascii_lower", "bounded_batches", "keyed", "remove", "stored", "table", "unsigned_hash", "with_key", "without_rows", "written"]

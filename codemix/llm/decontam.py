@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from codemix.llm.common import ROW, ascii_lower, keyed
+from codemix.llm.common import ROW, ascii_lower, keyed, with_key, without_rows
 
 WINDOW = 13
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -55,7 +55,7 @@ def ngrams(items: DataFrame, id_col: str, text_col: str, window: int = WINDOW) -
 
 def scan(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text: str = "text", window: int = WINDOW,
+    item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, key: str | None = None,
 ) -> DataFrame:
     """Hits of windows in every document.
 
@@ -73,7 +73,7 @@ def scan(
     longest = max(sizes, default=1)
     names = _window_columns(longest)
 
-    tokens = keyed(docs, doc_id=F.col(id_col), words=words(F.col(text_col)))
+    tokens = keyed(docs, key, doc_id=F.col(id_col), words=words(F.col(text_col)))
     following = [F.slice("words", j + 1, F.greatest(F.size("words") - j, F.lit(0))).alias(w) for j, w in enumerate(names)]
     beside = tokens.select(ROW, "doc_id", F.size("words").alias("n_words"), F.arrays_zip(*following).alias("beside"))
     rows = beside.select(ROW, "doc_id", "n_words", F.posexplode_outer("beside").alias("at", "w")).select(
@@ -139,8 +139,10 @@ def report(scanned: DataFrame) -> DataFrame:
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, **columns) -> DataFrame:
-    """The rows of a stored table that are not contaminated, with all their columns."""
-    found = scan(docs, items, **columns)
-    drop = found.where(contaminated(hit_words(F.col("hits")), F.col("n_words"))).select(ROW)
-    rows = docs.withColumn(ROW, F.monotonically_increasing_id())
-    return rows.join(drop, ROW, "left_anti").select(*docs.columns)
+    """The rows of a table that are not contaminated, with all their columns, whatever their names.
+
+    Null and empty texts stay, repeated rows stay or go together, and an empty table stays empty.
+    """
+    rows, key = with_key(docs, "decontamination-rows")
+    found = scan(rows, items, key=key, **columns)
+    return without_rows(rows, key, found.where(contaminated(hit_words(F.col("hits")), F.col("n_words"))), "decontamination-gone")

@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from codemix.llm.common import ROW, bounded_batches, keyed, written
+from codemix.llm.common import ROW, bounded_batches, keyed, with_key, without_rows, written
 from codemix.llm.components import connected_components
 
 SHINGLE = 3
@@ -112,9 +112,9 @@ def close_links(distinct: DataFrame, distance: int = DISTANCE, bucket: int = BUC
 
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
-    distance: int = DISTANCE, bucket: int = BUCKET,
+    distance: int = DISTANCE, bucket: int = BUCKET, key: str | None = None,
 ) -> DataFrame:
-    """The row key, doc_id, fp, component_id and keeper of every row.
+    """The row key (``key``, if the table has one), doc_id, fp, component_id and keeper of every row.
 
     component_id is the least id of the texts that links reach, the own included;
     keeper is the key of the row that stands for them, the one with that id. Null
@@ -122,7 +122,7 @@ def near_duplicates(
     ids take part; if all of a component have none, its id is null. Rows that repeat
     an id each have their own fingerprint. Empty tables give no rows.
     """
-    docs = keyed(df, doc_id=F.col(id_col), text=F.col(text_col))
+    docs = keyed(df, key, doc_id=F.col(id_col), text=F.col(text_col))
     docs = written(docs.select(ROW, "doc_id", fingerprints(df, "text", shingle).alias("fp")), "simhash")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(ROW).alias("row")))
     distinct = written(docs.groupBy("fp").agg(first.alias("first")), "simhash-fps")
@@ -144,9 +144,9 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of a stored table without the near-copies: of each component the row
-    with the least id stays, and of rows that repeat it one."""
-    found = near_duplicates(df, id_col, text_col, **options)
-    drop = found.where(F.col(ROW) != F.col("keeper")).select(ROW)
-    rows = df.withColumn(ROW, F.monotonically_increasing_id())
-    return rows.join(drop, ROW, "left_anti").select(*df.columns)
+    """The rows of a table without the near-copies: of each component the row
+    with the least id stays, and of rows that repeat it one. All columns stay, whatever their
+    names; nulls and empty tables are as in ``near_duplicates``."""
+    rows, key = with_key(df, "simhash-rows")
+    found = near_duplicates(rows, id_col, text_col, key=key, **options)
+    return without_rows(rows, key, found.where(F.col(ROW) != F.col("keeper")), "simhash-gone")

@@ -4,10 +4,12 @@ import hashlib
 import random
 
 import public_tokenizers
+import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codemix.llm import pii, toxicity
+from codemix.llm import common, pii, toxicity
 from test_decontam import plain as plain_decontamination
 from test_simhash import least_reachable, plain_fingerprint
 
@@ -77,6 +79,23 @@ def test_stages_keep_the_columns_and_personal_data_goes(spark, docs, tmp_path):
         assert pii.all_spans(r.text) == ([], []) and r.n_chars == (None if r.text is None else len(r.text))
 
 
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_columns_named_like_a_key_stay(spark, docs, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(common, "MAX_BROADCAST", most)
+    rows, labels, items = cases()
+    folder = make(spark, tmp_path, rows[:60], labels[:60], items, docs)
+    table = spark.read.parquet(f"{folder}/documents.parquet").withColumns({
+        "__row": F.crc32(F.col("text").cast("binary")), "__ROW_": F.col("n_chars"), "gone": F.lit("g"), "a.b": F.lit(3)
+    }).drop("score")
+    rest = table.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, table, folder)
+        assert kept.columns == table.columns, name
+        odd = ["__row", "__ROW_", "gone"]
+        if name != "personal data":
+            assert kept.select("doc_id", *odd).exceptAll(table.select("doc_id", *odd)).isEmpty() and 0 < kept.count() < rest
+
+
 def test_an_empty_table(spark, docs, tmp_path):
     folder = make(spark, tmp_path, [], [], [], docs)
     assert corpus_pipeline.run(spark, folder).collect() == []
