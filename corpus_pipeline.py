@@ -36,7 +36,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     clean = pii.redact(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.char_length("text").cast("long"))
-    return clean.select(*docs.columns)
+    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
