@@ -5,7 +5,8 @@ for each language. A first pass counts words. A second one writes the texts as n
 frequent words, 0 for what ends a phrase, so that the later ones read little.
 
 Phrases grow word by word. The candidates of k words are those whose first and last k - 1 words
-are frequent phrases; they form double-array tries of bounded size, which are broadcast. A task
+are frequent phrases and whose hash is that of ``least`` such places of the texts, which no frequent
+phrase can miss; they form double-array tries of bounded size, which are broadcast. A task
 walks them from all positions of its texts at once, level by level, counts the last states it
 reaches, and Spark sums the counts of all tasks. For two words every pair of frequent words is a
 candidate: that trie is complete, its states are word · words + word without any table, and
@@ -32,9 +33,11 @@ NO_LANGUAGE = "und"
 #: Most frequent words, and bytes of them, and most frequent phrases of a length that are collected.
 MAX_WORDS = 2_000_000
 MAX_WORD_BYTES = 64 << 20
-MAX_PHRASES = 2_000_000
+MAX_PHRASES = 500_000
 #: Most candidates in a trie; each trie is a pass over the numbered texts.
-TRIE = 1_000_000
+TRIE = 500_000
+#: Buckets of hashes of candidates.
+BUCKETS = 1 << 20
 #: Pairs or positions that a task gathers before it counts them.
 _BLOCK = 4 << 20
 _BREAKS = "[.,;:!?\\x0A-\\x0D]"
@@ -164,9 +167,37 @@ def _in_trie(numbered: DataFrame, candidates: np.ndarray, words: int, least: int
     return _counted(numbered, run, least)
 
 
-def candidates(frequent: np.ndarray, most: int):
+def _bucket(head: np.ndarray, last: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a frequent phrase, by its row, and the word behind it."""
+    mixed = head.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + last.astype(np.uint64)
+    mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
+    return (mixed >> np.uint64(24)).astype(np.int64) % buckets
+
+
+def _full_buckets(numbered: DataFrame, frequent: np.ndarray, words: int, least: int) -> np.ndarray:
+    """Which buckets have ``least`` places or more where a frequent phrase follows one a word
+    before it: a flag for each."""
+    trie = numbered.sparkSession.sparkContext.broadcast(DoubleArray(frequent, words))
+    length, buckets = frequent.shape[1], BUCKETS
+
+    def run(batches):
+        total = np.zeros(buckets, np.int64)
+        for x in _arrays(batches):
+            at, row = trie.value.occurrences(x)
+            follows = np.flatnonzero(np.diff(at) == 1)
+            total += np.bincount(_bucket(row[follows], x[at[follows] + length], buckets), minlength=buckets)
+        reached = np.flatnonzero(total)
+        yield _rows(reached, total[reached])
+
+    full = np.zeros(buckets, bool)
+    # at most as many rows as there are buckets
+    full[_counted(numbered, run, least).toArrow().column(0).to_numpy()] = True
+    return full
+
+
+def candidates(frequent: np.ndarray, most: int, full: np.ndarray | None = None):
     """Blocks of at most about ``most`` sequences whose first and last words but one are rows
-    of the sorted matrix."""
+    of the sorted matrix, and whose buckets are full."""
     n, k = frequent.shape
     # a number for every distinct sequence of k - 1 words, in the order of the first ones
     both = np.concatenate([frequent[:, :-1], frequent[:, 1:]])
@@ -181,11 +212,27 @@ def candidates(frequent: np.ndarray, most: int):
         counts = (high - low)[begin:end]
         left = np.repeat(np.arange(begin, end), counts)
         right = np.arange(counts.sum()) + np.repeat(low[begin:end] - (np.cumsum(counts) - counts), counts)
+        if full is not None:
+            likely = full[_bucket(left, frequent[right, -1], len(full))]
+            left, right = left[likely], right[likely]
         if len(left):
             yield np.concatenate([frequent[left], frequent[right, -1:]], axis=1)
         begin = end
 
 
+def _gathered(blocks, most: int):
+    """Small blocks of rows put together up to a size."""
+    kept, size = [], 0
+    for block in blocks:
+        if kept and size + len(block) > most:
+            yield np.concatenate(kept)
+            kept, size = [], 0
+        kept.append(block)
+        size += len(block)
+    if kept:
+        yield np.concatenate(kept)
+
+
 def _sorted(rows: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort(rows.T[::-1])
     return rows[order], f[order]
@@ -222,7 +269,8 @@ def _by_tries(source: DataFrame, frequent_words: DataFrame, least: int, longest:
             rows, f = np.stack([found[0] // (total + 1), found[0] % (total + 1)], axis=1), found[1]
         else:
             parts, counts, size = [], [], 0
-            for block in candidates(rows, TRIE):
+            full = _full_buckets(numbered, rows, total, least)
+            for block in _gathered(candidates(rows, TRIE, full), TRIE):
                 found = collected(_in_trie(numbered, block, total, least))
                 size += MAX_PHRASES + 1 if found is None else len(found[0])
                 if size > MAX_PHRASES:

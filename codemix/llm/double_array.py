@@ -19,7 +19,7 @@ class DoubleArray:
         self.length = rows.shape[1]
         size = symbols + 2
         self._size = size
-        self.base, self.check = np.zeros(size, np.int64), np.full(size, -1, np.int64)
+        self.base, self.check = np.zeros(size, np.int32), np.full(size, -1, np.int32)
         order = np.lexsort(rows.T[::-1]) if len(rows) else np.zeros(0, np.int64)
         rows = rows[order]
         self._draw = np.random.default_rng(len(rows))
@@ -32,19 +32,20 @@ class DoubleArray:
             first = np.flatnonzero(new)
             child = self._place(state[first], rows[first, depth])
             state = child[np.cumsum(new) - 1]
-        self.value = np.full(len(self.check), -1, np.int64)
+        self.value = np.full(len(self.check), -1, np.int32)
         self.value[state] = order
         # a step from any state by any symbol stays inside
         pad = int(self.base.max(initial=0)) + size + 1 - len(self.check)
         if pad > 0:
             self.base, self.check, self.value = (
-                np.r_[a, np.full(pad, fill)] for a, fill in ((self.base, 0), (self.check, -1), (self.value, -1))
+                np.r_[a, np.full(pad, fill, np.int32)] for a, fill in ((self.base, 0), (self.check, -1), (self.value, -1))
             )
-        self.base, self.check, self.value = (a.astype(np.int32) for a in (self.base, self.check, self.value))
 
     def _grow(self, by: int) -> None:
-        self.base = np.r_[self.base, np.zeros(by, np.int64)]
-        self.check = np.r_[self.check, np.full(by, -1, np.int64)]
+        if len(self.check) + by > np.iinfo(np.int32).max - self._size:
+            raise ValueError("too many sequences for one trie")
+        self.base = np.r_[self.base, np.zeros(by, np.int32)]
+        self.check = np.r_[self.check, np.full(by, -1, np.int32)]
 
     def _place(self, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """States for children, which lie parent by parent. Large families come first; all
@@ -53,7 +54,6 @@ class DoubleArray:
             return parent
         starts = np.flatnonzero(np.r_[True, parent[1:] != parent[:-1]])
         sizes = np.diff(np.r_[starts, len(parent)])
-        family = np.repeat(np.arange(len(starts)), sizes)
         child = np.zeros(len(parent), np.int64)
         classes = np.floor(np.log2(sizes)).astype(np.int64)
         self._grow(2 * len(parent) + self._size)
@@ -65,9 +65,9 @@ class DoubleArray:
                     tries = 0
                 tries += 1
                 base = self._draw.integers(0, len(self.check) - self._size, len(left))
-                mine = np.concatenate([np.arange(s, s + n) for s, n in zip(starts[left].tolist(), sizes[left].tolist())]) \
-                    if len(left) < len(starts) else np.arange(len(parent))
-                owner = np.repeat(np.arange(len(left)), sizes[left])
+                n = sizes[left]
+                owner = np.repeat(np.arange(len(left)), n)
+                mine = np.arange(len(owner)) + np.repeat(starts[left] - (np.cumsum(n) - n), n)
                 slot = base[owner] + symbol[mine]
                 taken = self.check[slot] >= 0
                 once = np.zeros(len(slot), bool)
@@ -80,8 +80,8 @@ class DoubleArray:
                 left = left[~good]
         return child
 
-    def count(self, text: np.ndarray, rows: int) -> np.ndarray:
-        """How often each row occurs in a text of symbols, from every position on."""
+    def occurrences(self, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The positions of a text of symbols from which a row occurs, and which row."""
         text = np.r_[text, np.zeros(self.length, text.dtype)]
         at = np.flatnonzero(self.check[text] == 0)
         state = text[at]
@@ -90,4 +90,8 @@ class DoubleArray:
             following = self.base[state] + text[at]
             alive = self.check[following] == state
             at, state = at[alive], following[alive]
-        return np.bincount(self.value[state], minlength=rows)
+        return at - (self.length - 1), self.value[state]
+
+    def count(self, text: np.ndarray, rows: int) -> np.ndarray:
+        """How often each row occurs."""
+        return np.bincount(self.occurrences(text)[1], minlength=rows)

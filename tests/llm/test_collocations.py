@@ -67,7 +67,7 @@ def texts(seed, size=400):
     return rows + [("en", None), (None, None), ("de", ""), ("fr", " \t"), ("en", "the of " * 5000), ("xx", "...")]
 
 
-@pytest.mark.parametrize("bounds", [{}, {"TRIE": 3}, {"_BLOCK": 50}, {"MAX_WORDS": 2}, {"MAX_PHRASES": 3}, {"MAX_PHRASES": 30, "TRIE": 9}])
+@pytest.mark.parametrize("bounds", [{}, {"TRIE": 3}, {"_BLOCK": 50}, {"MAX_WORDS": 2}, {"MAX_PHRASES": 3}, {"BUCKETS": 5, "TRIE": 4}, {"MAX_PHRASES": 30, "TRIE": 9}])
 def test_equals_plain(spark, table, monkeypatch, bounds):
     for name, value in bounds.items():
         monkeypatch.setattr(C, name, value)
