@@ -39,7 +39,7 @@ TRIE = 500_000
 #: Buckets of hashes of candidates.
 BUCKETS = 1 << 20
 #: Pairs or positions that a task gathers before it counts them.
-_BLOCK = 4 << 20
+_BLOCK = 1 << 20
 _BREAKS = "[.,;:!?\\x0A-\\x0D]"
 _UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Lower case, a line end for every separator of pieces, a blank for a tab.
@@ -69,7 +69,7 @@ def _by_language(batch: pa.RecordBatch):
 
 
 def _source(df: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, "4m")
     return df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
 
 
