@@ -17,6 +17,7 @@ _WINDOWS = [
     (2, 1, 1), (3, 2, 1), (4, 2, 2), (5, 4, 1), (6, 4, 2), (7, 4, 3), (8, 4, 4), (10, 8, 2), (12, 8, 4), (15, 8, 7),
     (20, 12, 8), (30, 15, 15), (60, 30, 30), (120, 60, 60),
 ]
+_DOUBLINGS = 6
 
 
 def _bits(values: np.ndarray) -> np.ndarray:
@@ -25,6 +26,26 @@ def _bits(values: np.ndarray) -> np.ndarray:
     return np.maximum(exponent, 0).astype(np.uint8)
 
 
+def _orbit(following: np.ndarray) -> np.ndarray:
+    """The places that following the array from 0 leads to, up to its end.
+
+    Steps of 2^k are composed, the longest are followed one by one, and the places between
+    are filled in level by level.
+    """
+    n = len(following)
+    levels = [np.r_[following, n]]
+    for _ in range(_DOUBLINGS):
+        levels.append(levels[-1][levels[-1]])
+    longest, places, at = levels.pop().tolist(), [], 0
+    while at < n:
+        places.append(at)
+        at = longest[at]
+    places = np.array(places, np.int64)
+    for step in reversed(levels):
+        places = np.stack([places, step[places]], axis=1).reshape(-1)
+    return places[places < n]
+
+
 def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of unsigned integers, and the escaped integers. The last word may be
     filled up with zeros."""
@@ -39,13 +60,11 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         window = widest[shorter].copy()
         np.maximum(window[:-shift], widest[shorter][shift:], out=window[:-shift])
         widest[length] = window
-        np.copyto(selector, s, where=window[:n] <= WIDTHS[s])
-    steps = COUNTS[selector].tolist()
-    starts, at = [], 0
-    while at < n:
-        starts.append(at)
-        at += steps[at]
-    starts = np.array(starts, np.int64)
+        fits = window[:n] <= WIDTHS[s]
+        if not fits.any():
+            break  # nor does a longer window, whose integers get fewer bits
+        np.copyto(selector, s, where=fits)
+    starts = _orbit(np.minimum(np.arange(n) + COUNTS[selector], n))
     chosen = selector[starts].astype(np.int64)
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.r_[values, np.zeros(int(COUNTS[1]), np.uint64)]

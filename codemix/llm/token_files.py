@@ -7,9 +7,9 @@ is a sequence of blocks, each with the ids, null marks and token counts of its d
 and the Simple-8b words of their tokens, and a footer with the offset of every block. A
 manifest has the number of tokens of each file.
 
-The tokenizer's pattern never makes a token of both sides of a blank between two other
-characters, so that texts are cut in front of such blanks and each distinct part of a
-batch is encoded once. Texts with the string of a special token, or with one of the few
+The tokenizer's pattern never makes a token of both sides of a blank or line end between two other
+characters, or of a letter and a following full stop or comma, so that texts are cut in front of
+these (and behind line ends) and each distinct part of a batch is encoded once. Texts with the string of a special token, or with one of the few
 characters that Python alone takes for white space, go to the library whole.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from codemix.llm import simple8b, words
 from codemix.llm.common import bounded_batches, written
 from codemix.llm.files import committed
-from codemix.session import shared_folder
+from codemix.session import shared_folder, tasks_for
 
 END = 0
 MAGIC = b"S8BTOK01"
@@ -38,7 +38,7 @@ MAGIC = b"S8BTOK01"
 BLOCK_TOKENS = 1 << 18
 FILE_BYTES = 64 << 20
 #: Encoded parts that a Python worker keeps, about 200 bytes each.
-CACHED = 700_000
+CACHED = 1_200_000
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Parts of a text with longer white space: of a run before a word, the pattern leaves its
 #: last character, and if that is a blank the word takes it.
@@ -111,7 +111,9 @@ class Encoder:
         for special in self.special:
             whole = pc.or_(whole, pc.match_substring(texts, special))
         odd = pc.or_(whole, pc.match_substring_regex(texts, rf"[{_SPACE}][{_SPACE}]|\x01"))
-        lists = words.split(pc.replace_substring(pc.if_else(odd, "", texts), " ", "\x01 "), "\x01")
+        marked = pc.replace_substring(pc.if_else(odd, "", texts), " ", "\x01 ")
+        marked = pc.replace_substring(marked, "\n", "\x01\n\x01")
+        lists = words.split(pc.replace_substring_regex(marked, r"([a-z])([.,])", "\\1\x01\\2"), "\x01")
         offsets, codes, distinct = words.distinct_parts(lists)
         found = self._ids(words.strings(distinct))
         ends = np.cumsum([0, *map(len, found)]) // 4
@@ -199,10 +201,9 @@ def write(
     a hash of their texts; an empty table has no files.
     """
     bounded_batches(df.sparkSession)
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = source.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    ordered = source.repartitionByRange(tasks_for(source), *order).sortWithinPartitions(*order)
 
     def write_files(batches):
         encoder = encoder_of(path)
