@@ -587,10 +587,10 @@ P_VALUE = """
       CASE WHEN p < 0.05 THEN 'significant' ELSE 'not significant' END AS verdict
     FROM (SELECT *, least(1.0, CASE WHEN x < 2
           THEN 1 - 2 / sqrt(pi()) * x * exp(-x * x) * list_reduce(
-            list_prepend(1.0::DOUBLE, list_transform(range(1, 61), k -> (2 * (61 - k) + 1)::DOUBLE)),
-            (s, d) -> 1 + 2 * x * x / d * s)
+            list_prepend(1.0::DOUBLE, list_transform(range(1, 61), lambda k: (2 * (61 - k) + 1)::DOUBLE)),
+            lambda s, d: 1 + 2 * x * x / d * s)
           ELSE exp(-x * x) / (sqrt(pi()) * list_reduce(
-            list_prepend(x, list_transform(range(1, 101), k -> (101 - k)::DOUBLE / 2)), (f, a) -> x + a / f)) END) AS p
+            list_prepend(x, list_transform(range(1, 101), lambda k: (101 - k)::DOUBLE / 2)), lambda f, a: x + a / f)) END) AS p
       FROM (SELECT *, z / sqrt(2) AS x FROM ({source})))"""
 
 
