@@ -191,7 +191,8 @@ def nearest(
     shard_size: int = SHARD,
 ) -> DataFrame:
     """The k nearest found of every row for which the condition ``queries`` on ``vec_id`` holds,
-    among all rows but itself: query_id, rank from 1, vec_id, score.
+    among all rows but itself: query_id, rank from 1, vec_id, score. Every block of queries is
+    searched in every shard, so the work is queries times shards.
 
     Vectors that are null, zero, or hold null or non-finite parts, and rows with null
     ids, take no part; vectors of another length than the query's are no candidates. Ties
@@ -212,7 +213,8 @@ def nearest(
     shards = max(1, -(-distinct.count() // shard_size))
     dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("embedding", F.lit(1)), F.lit(shards)))
     index = written(
-        dealt.select("embedding", "vid", "dim", "shard").groupBy("dim", "shard").applyInPandas(
+        # an index takes seconds for a few MB: adaptive execution must not merge them into few tasks
+        dealt.select("embedding", "vid", "dim", "shard").repartition(4 * shards, "dim", "shard").groupBy("dim", "shard").applyInPandas(
             _index, "dim long, shard long, n long, start long, vids binary, vectors binary, edges binary"
         ), "ann-index",
     )
