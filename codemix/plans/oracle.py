@@ -825,6 +825,7 @@ _FINAL = {
           sum(('0x' || substr(md5(term), 1, 10))::BIGINT * (pos + 1) % 1000000007)::BIGINT AS digest
         FROM events GROUP BY ALL""",
     "vocab_topk": "SELECT * FROM vocab",
+    "vocab_heavy": "SELECT * FROM vocab",
     "idf_weights": "SELECT term, df, round(idf, 6) AS idf FROM weights",
     "tfidf": """
         SELECT conv_pos, utt_idx, term, tf, round(

@@ -371,6 +371,11 @@ def vocab_topk(spark, sf):
     return X.vocabulary(X.term_events(_examples(spark, sf)))
 
 
+def vocab_heavy(spark, sf):
+    events = written(X.term_events(_examples(spark, sf)), "events")
+    return X.vocabulary(events, stored=True)
+
+
 def _weights(spark, sf):
     examples = _examples_table(spark, sf)
     # every later pass reads the terms, none splits the texts again
@@ -538,6 +543,7 @@ _QUERIES = {
     "switch_share": switch_share,
     "ngram_terms": ngram_terms,
     "vocab_topk": vocab_topk,
+    "vocab_heavy": vocab_heavy,
     "idf_weights": idf_weights,
     "tfidf": tfidf,
     "tfidf_norms": tfidf_norms,
