@@ -8,30 +8,43 @@ larger than the tolerance: it is sampled and subdivided again until it is not, o
 until it is one record. Equal texts have neighbouring keys, so a group stays in
 one shard unless a boundary has to cut it; a group of any size can be cut.
 
-Only splitters and range sums reach the driver, a fixed number of them.
-Everything is made of DataFrame operations.
+Only splitters and range sums reach the driver, a fixed number of them. The records themselves,
+texts and all, then go to their shards in one exchange and are written there, a folder per shard;
+sizes and checksums are those of the texts read back. Everything is made of DataFrame operations.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from codemix.llm.common import ROW, keyed, unsigned_hash, written
-from codemix.session import tasks_for
+from codemix.llm.common import ROW, keyed, remove, unsigned_hash, written
+from codemix.session import drop_at_exit, shared_folder, tasks_for
 
 LAW = "bytes"
 KEY = ["h", "id", ROW]
 
 
+def _text(c: Column) -> Column:
+    return F.coalesce(c, F.lit(""))
+
+
+def _size(text: Column) -> Column:
+    return (F.octet_length(text) + 1).cast("long")
+
+
+def _key(id_col: str, text_col: str) -> dict[str, Column]:
+    return {
+        "id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))),
+        "h": F.xxhash64(_text(F.col(text_col))),
+    }
+
+
 def slim(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Size, crc and key of every record, without its text. Null texts are empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """Size, crc and key of every record, without its text, to find the boundaries by. Null texts are empty."""
+    text = _text(F.col(text_col))
     return keyed(
-        df, doc_id=F.col(id_col),
-        id=F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))),
-        size=(F.octet_length(text) + 1).cast("long"),
-        text_crc32=F.crc32(text.cast("binary")),
-        h=F.xxhash64(text),
+        df, doc_id=F.col(id_col), size=_size(text), text_crc32=F.crc32(text.cast("binary")), **_key(id_col, text_col),
     )
 
 
@@ -116,56 +129,75 @@ def boundaries(
     return sorted({k for k in chosen if k})
 
 
-def shard(
+def place(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8,
     tolerance: float = 0.001,
-) -> DataFrame:
-    """Put all records into ``shards`` key ranges of nearly equal bytes.
+) -> tuple[DataFrame, str]:
+    """Put all records, whole, into ``shards`` key ranges of nearly equal bytes and write them there.
 
-    Returns doc_id, size, text_crc32, law, shard, slot (dense from 0 within a
-    shard, in key order) and grown_shard (null under this law). Null texts count
-    as empty, null and repeated ids and repeated rows each keep their own record,
-    extra columns are ignored, and an empty table gives no rows. With fewer
-    records than shards some shards stay empty.
+    Returns the records read back, as record (all their columns), shard and slot (dense from 0
+    within a shard, in key order), and the folder that holds them, a folder per shard in it. The
+    folder goes when the application ends.
     """
+    spark = df.sparkSession
     records = written(slim(df, id_col, text_col), "shard-keys")
     total = records.agg(F.sum("size")).first()[0] or 0
     keys = boundaries(records, total, shards, tolerance) if total else []
-    placed = records.withColumn("shard", _range_of(keys))
 
     # Slots: sort once, number each task's rows, and add the tasks' totals.
     order = ["shard", *KEY]
-    ordered = written(
-        placed.repartitionByRange(tasks_for(records), *order).sortWithinPartitions(*order)
-        .withColumn("place", F.monotonically_increasing_id()),
-        "shard-order",
-    )
-    task = F.shiftrightunsigned("place", 33)
-    parts = ordered.groupBy("shard", task.alias("task")).agg(
-        F.count("*").alias("n"), F.min("place").alias("first")
-    )
+    placed = keyed(df, record=F.struct("*"), **_key(id_col, text_col)).withColumn("shard", _range_of(keys))
+    ordered = placed.repartitionByRange(tasks_for(df), *order).sortWithinPartitions(*order).withColumn(
+        "place", F.monotonically_increasing_id()
+    ).select("record", "place", "shard")
+    path = shared_folder(spark, "shards")
+    ordered.write.partitionBy("shard").parquet(path)
+    drop_at_exit(spark, path)
+    schema = StructType([
+        StructField("record", ordered.schema["record"].dataType), StructField("place", LongType()), StructField("shard", IntegerType()),
+    ])
+    back = spark.read.schema(schema).parquet(path).withColumn("task", F.shiftrightunsigned("place", 33))
+    parts = back.groupBy("shard", "task").agg(F.count("*").alias("n"), F.min("place").alias("first"))
     earlier = Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select(
         "shard", "task",
         (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("offset"),
     )
     # One row per task and shard.
-    return ordered.withColumn("task", task).join(offsets, ["shard", "task"]).select(
-        "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), F.col("shard").cast("int").alias("shard"),
-        (F.col("place") + F.col("offset")).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+    return back.join(F.broadcast(offsets), ["shard", "task"]).select(
+        "record", "shard", (F.col("place") + F.col("offset")).cast("long").alias("slot")
+    ), path
+
+
+def shard(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = 8,
+    tolerance: float = 0.001,
+) -> DataFrame:
+    """Put all records, by id and text, into shards as of :func:`place`, and describe them as read back.
+
+    Returns doc_id, size, text_crc32, law, shard, slot (dense from 0 within a
+    shard, in key order) and grown_shard (null under this law). Null texts count
+    as empty, null and repeated ids and repeated rows each keep their own record,
+    extra columns are ignored, and an empty table gives no rows. With fewer
+    records than shards some shards stay empty.
+    """
+    two = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    placed, _ = place(two, shards=shards, tolerance=tolerance)
+    text = _text(F.col("record.text"))
+    return placed.select(
+        F.col("record.doc_id").alias("doc_id"), _size(text).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
 def write_shards(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", **options) -> None:
-    """Write the records themselves, one folder per shard. Ids must be unique and not null.
+    """Write the records themselves, one folder per shard; null and repeated ids each keep their own record.
 
     The columns ``shard`` and ``slot`` are added; if the table has such columns, these keep their names
     and the added ones get an underscore behind theirs.
     """
     taken = {c.lower() for c in df.columns}
     shard_as, slot_as = (n if n not in taken else n + "_" * next(k for k in range(1, 99) if n + "_" * k not in taken) for n in ("shard", "slot"))
-    placed = shard(df, id_col, text_col, **options).select(
-        F.col("doc_id").alias(id_col), F.col("shard").alias(shard_as), F.col("slot").alias(slot_as)
-    )
-    df.join(placed, id_col).write.partitionBy(shard_as).parquet(path)
+    placed, folder = place(df, id_col, text_col, **options)
+    placed.select("record.*", F.col("shard").alias(shard_as), F.col("slot").alias(slot_as)).write.partitionBy(shard_as).parquet(path)
+    remove(df.sparkSession, folder)

@@ -64,6 +64,17 @@ def test_columns_named_shard_and_slot_stay(docs, tmp_path, spark):
     assert {r.shard_ for r in back} == {0, 1, 2} and {r.slot__ for r in back} >= {0, 1}
 
 
+def test_texts_go_to_their_shards_whatever_the_ids(docs, tmp_path, spark):
+    rows = [(None, "no id")] * 3 + [(1, "one"), (1, "one"), (1, "uno"), (2, None), (None, None)] + [(i, str(i) * 9) for i in range(9, 60)]
+    sharding.write_shards(docs(rows), f"{tmp_path}/shards", shards=4)
+    back = spark.read.parquet(f"{tmp_path}/shards").collect()
+    assert sorted(((r.doc_id, r.text) for r in back), key=str) == sorted(rows, key=str)
+    described = sharding.shard(docs(rows), shards=4).collect()
+    assert sorted((r.shard, r.slot, zlib.crc32((r.text or "").encode())) for r in back) == sorted(
+        (r.shard, r.slot, r.text_crc32) for r in described
+    )
+
+
 def plain(rows, shards):
     """The placement worked out in one piece: texts in the order of their hashes, cut where the bytes are nearest."""
     order = sorted(rows, key=lambda r: r["key"])
