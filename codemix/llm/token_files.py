@@ -38,7 +38,7 @@ MAGIC = b"S8BTOK01"
 BLOCK_TOKENS = 1 << 18
 FILE_BYTES = 64 << 20
 #: Encoded parts that a Python worker keeps, about 200 bytes each.
-CACHED = 1_200_000
+CACHED = 700_000
 _SPACE = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: Parts of a text with longer white space: of a run before a word, the pattern leaves its
 #: last character, and if that is a blank the word takes it.
@@ -229,6 +229,22 @@ def write(
     return manifest.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
+def read_files(batches):
+    """file, doc_id, at, n_tokens, ids_crc32 of the documents of whole files."""
+    encoder_of.cache_clear()  # a worker that has written files needs its parts no more
+    for batch in batches:
+        for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            at = 0
+            for ids, tokens in blocks_of(data.as_buffer()):
+                lengths = np.array([len(t) for t in tokens], np.int64)
+                starts = at + np.cumsum(lengths) - lengths
+                at += int(lengths.sum())
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([name] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(starts),
+                    pa.array(lengths), pa.array([zlib.crc32(t.astype("<u4").tobytes()) for t in tokens], pa.int64()),
+                ], ["file", "doc_id", "at", "n_tokens", "ids_crc32"])
+
+
 def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start (tokens of all documents before), n_tokens, and ids_crc32 of the ids as
     little-endian unsigned 32-bit integers, from the files."""
@@ -237,19 +253,6 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.s8b").load(folder)
 
-    def read_files(batches):
-        for batch in batches:
-            for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                at = 0
-                for ids, tokens in blocks_of(data.as_buffer()):
-                    lengths = np.array([len(t) for t in tokens], np.int64)
-                    starts = at + np.cumsum(lengths) - lengths
-                    at += int(lengths.sum())
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array([name] * len(ids), pa.string()), pa.array(ids, pa.int64()), pa.array(starts),
-                        pa.array(lengths), pa.array([zlib.crc32(t.astype("<u4").tobytes()) for t in tokens], pa.int64()),
-                    ], ["file", "doc_id", "at", "n_tokens", "ids_crc32"])
-
     rows = found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(
         read_files, "file string, doc_id long, at long, n_tokens long, ids_crc32 long"
     )

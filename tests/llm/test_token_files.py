@@ -90,3 +90,10 @@ def test_blocks_and_broken_files():
 
 def test_no_rows(docs):
     assert T.round_trip(docs([]), PATH).collect() == []
+
+
+def test_reading_gives_up_the_encoded_parts():
+    """A worker that reads files frees what it kept of the writing."""
+    encoder = T.encoder_of(PATH)
+    assert T.encoder_of(PATH) is encoder
+    assert list(T.read_files(iter(()))) == [] and T.encoder_of(PATH) is not encoder
