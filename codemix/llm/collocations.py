@@ -10,7 +10,10 @@ phrase can miss; they form double-array tries of bounded size, which are broadca
 walks them from all positions of its texts at once, level by level, counts the last states it
 reaches, and Spark sums the counts of all tasks. For two words every pair of frequent words is a
 candidate: that trie is complete, its states are word · words + word without any table, and
-the states that a text reaches are counted sparsely.
+the states that a text reaches are counted sparsely. So they are for more words where the candidates
+would take more than a few tries: the trie of the frequent phrases of a word less is walked, and
+where one follows another a word before it, the state row · words + word is counted. The passes
+over the texts are thus a fixed number, whatever the number of candidates.
 
 Frequent words and phrases are counted before they are collected for the tries. Beyond the
 bounds, phrases of every length are counted by shuffling them instead.
@@ -33,9 +36,10 @@ NO_LANGUAGE = "und"
 #: Most frequent words, and bytes of them, and most frequent phrases of a length that are collected.
 MAX_WORDS = 2_000_000
 MAX_WORD_BYTES = 64 << 20
-MAX_PHRASES = 500_000
-#: Most candidates in a trie; each trie is a pass over the numbered texts.
+MAX_PHRASES = 3_000_000
+#: Most candidates in a trie, and most tries for a length; each trie is a pass over the numbered texts.
 TRIE = 500_000
+TRIES = 8
 #: Buckets of hashes of candidates.
 BUCKETS = 1 << 20
 #: Pairs or positions that a task gathers before it counts them.
@@ -195,15 +199,40 @@ def _full_buckets(numbered: DataFrame, frequent: np.ndarray, words: int, least:
     return full
 
 
-def candidates(frequent: np.ndarray, most: int, full: np.ndarray | None = None):
-    """Blocks of at most about ``most`` sequences whose first and last words but one are rows
-    of the sorted matrix, and whose buckets are full."""
-    n, k = frequent.shape
+def _extended(numbered: DataFrame, frequent: np.ndarray, words: int, least: int, full: np.ndarray | None) -> DataFrame:
+    """Frequent phrases of a word more, counted where a frequent phrase follows one a word before
+    it: the key is the row of the first · (words + 1) + the last word."""
+    trie = numbered.sparkSession.sparkContext.broadcast(DoubleArray(frequent, words))
+    length = frequent.shape[1]
+
+    def run(batches):
+        for x in _arrays(batches):
+            at, row = trie.value.occurrences(x)
+            follows = np.flatnonzero(np.diff(at) == 1)
+            head, last = row[follows].astype(np.int64), x[at[follows] + length].astype(np.int64)
+            if full is not None:
+                likely = full[_bucket(head, last, len(full))]
+                head, last = head[likely], last[likely]
+            yield _rows(*np.unique(head * (words + 1) + last, return_counts=True))
+
+    return _counted(numbered, run, least)
+
+
+def _overlaps(frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of the sorted matrix the range of rows that begin with its last words but one."""
+    n = len(frequent)
     # a number for every distinct sequence of k - 1 words, in the order of the first ones
     both = np.concatenate([frequent[:, :-1], frequent[:, 1:]])
     number = np.unique(both, axis=0, return_inverse=True)[1].reshape(-1)
     head, tail = number[:n], number[n:]
-    low, high = np.searchsorted(head, tail, side="left"), np.searchsorted(head, tail, side="right")
+    return np.searchsorted(head, tail, side="left"), np.searchsorted(head, tail, side="right")
+
+
+def candidates(frequent: np.ndarray, most: int, full: np.ndarray | None = None):
+    """Blocks of at most about ``most`` sequences whose first and last words but one are rows
+    of the sorted matrix, and whose buckets are full."""
+    n = len(frequent)
+    low, high = _overlaps(frequent)
     ends = np.cumsum(high - low)
     begin = 0
     while begin < n:
@@ -260,7 +289,7 @@ def _by_tries(source: DataFrame, frequent_words: DataFrame, least: int, longest:
         table = found.toArrow()
         return table.column(0).to_numpy(), table.column(1).to_numpy()
 
-    levels, rows = [], None
+    levels, rows, spelled = [], None, pa.array(names, pa.string())
     for k in range(2, longest + 1):
         if k == 2:
             found = collected(_pairs(numbered, total, least))
@@ -269,8 +298,18 @@ def _by_tries(source: DataFrame, frequent_words: DataFrame, least: int, longest:
             rows, f = np.stack([found[0] // (total + 1), found[0] % (total + 1)], axis=1), found[1]
         else:
             parts, counts, size = [], [], 0
-            full = _full_buckets(numbered, rows, total, least)
-            for block in _gathered(candidates(rows, TRIE, full), TRIE):
+            low, high = _overlaps(rows)
+            # buckets that get many times ``least`` places on the average leave nothing out
+            crowded = int(f.sum()) > BUCKETS * least
+            many = int((high - low).sum()) > TRIES * TRIE
+            full = None if many and crowded else _full_buckets(numbered, rows, total, least)
+            if many:
+                found = collected(_extended(numbered, rows, total, least, full))
+                if found is None:
+                    return None
+                parts = [np.concatenate([rows[found[0] // (total + 1)], found[0][:, None] % (total + 1)], axis=1)]
+                counts = [found[1]]
+            for block in () if many else _gathered(candidates(rows, TRIE, full), TRIE):
                 found = collected(_in_trie(numbered, block, total, least))
                 size += MAX_PHRASES + 1 if found is None else len(found[0])
                 if size > MAX_PHRASES:
@@ -281,11 +320,10 @@ def _by_tries(source: DataFrame, frequent_words: DataFrame, least: int, longest:
         rows, f = _sorted(rows, f)
         if not len(rows):
             break
-        named = np.array([None, *names], object)
+        columns = [spelled.take(pa.array(rows[:, j] - 1)) for j in range(k)]
         levels.append(pa.table({
-            "lang": pa.array(np.array([None, *langs], object)[rows[:, 0]].tolist(), pa.string()),
-            "k": pa.array(np.full(len(rows), k, np.int32)),
-            "phrase": pa.array([" ".join(r) for r in named[rows].tolist()], pa.string()), "f": pa.array(f.astype(np.int64)),
+            "lang": pa.array(langs, pa.string()).take(pa.array(rows[:, 0] - 1)), "k": pa.array(np.full(len(rows), k, np.int32)),
+            "phrase": pc.binary_join_element_wise(*columns, " "), "f": pa.array(f.astype(np.int64)),
         }))
     if not levels:
         return spark.createDataFrame([], "lang string, k int, phrase string, f long")

@@ -76,6 +76,19 @@ def test_equals_plain(spark, table, monkeypatch, bounds):
     assert got == plain(rows, 6, 5, 25) and len(got) > 30
 
 
+@pytest.mark.parametrize("buckets", [7, 1 << 20])
+def test_passes_do_not_grow_with_the_candidates(spark, table, monkeypatch, buckets):
+    """Many candidates take one sparse count for a length, not a pass for each trie."""
+    tries, walk = [], C._in_trie
+    monkeypatch.setattr(C, "_in_trie", lambda *a: tries.append(1) or walk(*a))
+    monkeypatch.setattr(C, "TRIE", 2)
+    monkeypatch.setattr(C, "TRIES", 3)
+    monkeypatch.setattr(C, "BUCKETS", buckets)
+    rows = texts(3)
+    got = sorted(map(tuple, C.mine(table(rows).repartition(4), least=6, top=50).collect()))
+    assert got == plain(rows, 6, 5, 50) and len(tries) <= 3 * 3
+
+
 def test_words_and_lengths(table):
     rows = texts(2, 200)
     assert sorted(map(tuple, C.mine(table(rows), least=4, longest=3, top=9).collect())) == plain(rows, 4, 3, 9)
