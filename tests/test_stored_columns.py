@@ -1,0 +1,37 @@
+"""What is stored on the way, and white space against the plain expression."""
+
+from pyspark.sql import functions as F
+
+from codemix.functions import tagging as G, text as T
+from codemix.operators import export as E
+from codemix.plans import queries as Q
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_append_export_stores_only_what_the_export_reads(spark, monkeypatch):
+    stored, write = [], Q.written
+    monkeypatch.setattr(Q, "written", lambda df, purpose: stored.append(set(df.columns)) or write(df, purpose))
+    assert Q.append_export(spark, SF).columns[0] == "id"
+    assert stored == [set(E.READ)] * 2
+
+
+def test_squeeze_equals_the_plain_replacement(spark):
+    texts = ["", " ", "a b", " a  b ", "a\tb", "a \tb", "a\t b", "\u00a0", "a\u00a0b \u2003c", "a\n b", "x \n\n  y\x1c z\x85", "one two  three\x0b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for space in (T.SPACE, T.SPACE_NO_NEWLINE):
+        plain = F.regexp_replace("t", f"[{space}]+", " ")
+        assert rows.where(T.squeeze(F.col("t"), space) != plain).count() == 0
+
+
+def test_marks_that_appear_when_numbers_go(spark):
+    rows = spark.createDataFrame([("a <E[1]S>b c</ES> d",), ("x [2] y",), (None,)], "t string")
+    assert [r.c for r in rows.select(G.clean_text(F.col("t")).alias("c")).collect()] == ["a b c d", "x y", None]
+
+
+def test_parts_of_speech(spark):
+    words = ["The", "LAS", "está", "son", "dog", "."]
+    tagged = F.transform(
+        F.array(*map(F.lit, words)), lambda w: F.struct(w.alias("token"), F.when(w == ".", "punct").otherwise("en").alias("lang"))
+    )
+    assert spark.range(1).select(G.coarse_pos(tagged).alias("p")).first().p == ["DT", "DT", "VB", "VB", "NN", "."]
