@@ -9,8 +9,11 @@ the record's number, so no task needs more than one split or one record.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from codemix.operators import prefix_sums as P
 from codemix.session import written
 
 _BLOCK = ["file", "block"]
@@ -48,29 +51,62 @@ def _odd(c: Column) -> Column:
     return c % 2 == 1
 
 
+def _counted(batches):
+    """Lines with `odd` (as the number of quotes before in the split) and the records begun up to
+    the line, if the split begins `outside` quotes, and if `inside`. A task reads a split in order."""
+    split, carried = None, [0, 0, 0]
+    for batch in batches:
+        if not len(batch):
+            continue
+        block, quotes = (batch.column(c).to_numpy() for c in ("block", "quotes"))
+        file = batch.column("file").dictionary_encode().indices.to_numpy()
+        cuts = np.flatnonzero((block[1:] != block[:-1]) | (file[1:] != file[:-1])) + 1
+        begin, here = np.r_[0, cuts, len(batch)], (batch.column("file")[0].as_py(), block[0])
+        if here != split:
+            carried = [0, 0, 0]
+
+        def running(values, k):
+            sums = P.running(values, begin).astype(np.int64)
+            sums[:begin[1]] += carried[k]
+            return sums
+
+        up_to = running(quotes, 0)
+        odd = (up_to - quotes) % 2 == 1
+        outside, inside = running(~odd, 1), running(odd, 2)
+        split, carried = (batch.column("file")[-1].as_py(), block[-1]), [up_to[-1], outside[-1], inside[-1]]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array(odd), pa.array(outside), pa.array(inside)],
+            [*batch.schema.names, "odd", "outside", "inside"],
+        )
+
+
 def csv_records(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
     """`file, number, record`: the records of CSV files whose quoted cells may hold line ends.
 
-    A line begins a record if the quotes before it are even in number. Blank records and, with
-    `header`, the first of each file are left out.
+    A line begins a record if the quotes before it are even in number, and is a whole one if its own are, too:
+    only lines of other records are shuffled. Blank records and, with `header`, the first of each file are left out.
     """
     lines = _pieces(spark, path, "\n").withColumn("quotes", _number_of(F.col("value"), '"'))
-    lines = lines.withColumn("odd", _odd(_before(F.col("quotes"))))
-    up_to = _in_block().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # records begun up to a line, if the split begins outside quotes, and if inside
-    lines = written(lines.withColumns({
-        "outside": F.sum(F.when(F.col("odd"), 0).otherwise(1)).over(up_to),
-        "inside": F.sum(F.when(F.col("odd"), 1).otherwise(0)).over(up_to),
-    }), "csv-lines")
+    lines = lines.mapInArrow(
+        _counted, "value string, file string, block long, at long, quotes int, odd boolean, outside long, inside long"
+    )
+    lines = written(lines, "csv-lines")
     blocks = lines.groupBy(*_BLOCK).agg(
         F.sum("quotes").alias("quotes"), F.max("outside").alias("outside"), F.max("inside").alias("inside")
     ).withColumn("open", _odd(_blocks_before(F.col("quotes"))))
     begun = F.when(F.col("open"), F.col("inside")).otherwise(F.col("outside"))
     blocks = blocks.select(*_BLOCK, "open", _blocks_before(begun).alias("begun"))
-    numbered = lines.join(blocks, _BLOCK).select("file", "block", "at", "value", (F.col("begun") + begun).alias("number"))
-    records = numbered.groupBy("file", "number").agg(
-        F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("lines")
-    ).select("file", "number", F.regexp_replace(F.array_join("lines.value", "\n"), r"\r$", "").alias("record"))
+    # one row per split
+    numbered = lines.join(F.broadcast(blocks), _BLOCK).select(
+        "file", "block", "at", "value", (F.col("begun") + begun).alias("number"),
+        ((F.col("odd") == F.col("open")) & ~_odd(F.col("quotes"))).alias("whole"),
+    )
+    record = lambda c: F.regexp_replace(c, r"\r$", "").alias("record")
+    records = numbered.filter("whole").select("file", "number", record(F.col("value"))).unionByName(
+        numbered.filter(~F.col("whole")).groupBy("file", "number").agg(
+            F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("lines")
+        ).select("file", "number", record(F.array_join("lines.value", "\n")))
+    )
     return records.filter((F.col("record") != "") & (F.col("number") > (1 if header else 0)))
 
 

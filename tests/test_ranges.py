@@ -100,3 +100,13 @@ def test_records_keep_their_order(spark, splits, tmp_path):
     found = ranges.csv_records(spark, str(tmp_path / "x.csv")).orderBy("number").collect()
     assert [r.record for r in found] == rows
     assert ranges.csv_records(spark, str(tmp_path / "x.csv"), header=False).count() == 41
+
+
+def test_lines_are_numbered_without_shuffling_them(spark, tmp_path, monkeypatch):
+    plans, write = [], ranges.written
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ranges, "written", lambda df, purpose: plans.append(plan_of(df)) or write(df, purpose))
+    (tmp_path / "a.csv").write_text('h\nx,1\n"two\nlines",2\n"a ""b""",3\n\nlast,4\n', encoding="utf-8")
+    records = ranges.csv_records(spark, str(tmp_path))
+    assert sorted(r.record for r in records.collect()) == ['"a ""b""",3', '"two\nlines",2', "last,4", "x,1"]
+    assert len(plans) == 1 and "Exchange" not in plans[0]
