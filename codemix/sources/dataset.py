@@ -11,6 +11,12 @@ from codemix.sources import ranges
 # A JSON line holds at most this many utterances; a longer conversation goes
 # on in further lines, so no task ever gathers a whole one.
 LINE_UTTERANCES = 4096
+#: What a stored utterance has; those of a table without some of the last three go without them.
+_STORED = [
+    "speaker", "text", "original_text", "tokens", "tagged_tokens", "tokens_list", "pos_tags", "has_code_switch",
+    "spanish_percentage",
+]
+_LISTS = {"tagged_tokens", "tokens_list", "pos_tags"}
 
 
 def _pairs(stored: Column) -> Column:
@@ -74,16 +80,18 @@ def flatten(conversations: DataFrame) -> DataFrame:
 
     Lines of other writers have no `part`: each is a whole conversation.
     """
+    there = conversations.schema["utterances"].dataType.elementType.names
+    stored = [
+        _pairs(F.col("u.tagged_tokens")).alias(c) if c == "tagged_tokens" else F.col(f"u.{c}")
+        for c in _STORED if c in there or c not in _LISTS
+    ]
     return conversations.select(
         "conv_pos", F.coalesce("part", F.lit(0)).alias("part"), "conversation_id", "strategy", "topic",
         F.posexplode("utterances").alias("place", "u"),
     ).select(
         "conv_pos", "conversation_id",
         (F.col("part") * LINE_UTTERANCES + F.col("place")).cast("int").alias("utt_idx"),
-        "u.speaker", "u.text", "u.original_text", "u.tokens",
-        _pairs(F.col("u.tagged_tokens")).alias("tagged_tokens"),
-        "u.tokens_list", "u.pos_tags", "u.has_code_switch", "u.spanish_percentage",
-        "strategy", "topic",
+        *stored, "strategy", "topic",
     )
 
 
@@ -98,15 +106,16 @@ def flatten_tokens(utterances: DataFrame) -> DataFrame:
 
 
 def nest(utterances: DataFrame) -> DataFrame:
-    """Conversation lines with their utterances in order."""
+    """Conversation lines with their utterances in order. The lists of tokens make up most of what is
+    shuffled: drop those columns first if the lines are read without them."""
+    stored = [
+        _stored(F.col(c)).alias(c) if c == "tagged_tokens" else F.col(c)
+        for c in _STORED if c in utterances.columns or c not in _LISTS
+    ]
     row = utterances.select(
         "conv_pos", F.floor(F.col("utt_idx") / LINE_UTTERANCES).alias("part"),
         "conversation_id", "strategy", "topic",
-        F.struct(
-            "utt_idx", "speaker", "text", "original_text", "tokens",
-            _stored(F.col("tagged_tokens")).alias("tagged_tokens"),
-            "tokens_list", "pos_tags", "has_code_switch", "spanish_percentage",
-        ).alias("u"),
+        F.struct("utt_idx", *stored).alias("u"),
     )
     return row.groupBy("conv_pos", "part").agg(
         F.any_value("conversation_id").alias("conversation_id"),

@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from codemix.functions import tagging as G, text as T
-from codemix.operators import export as E
+from codemix.operators import export as E, ordering as O
 from codemix.plans import queries as Q
+from codemix.sources import dataset as D, views as V
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +36,25 @@ def test_parts_of_speech(spark):
         F.array(*map(F.lit, words)), lambda w: F.struct(w.alias("token"), F.when(w == ".", "punct").otherwise("en").alias("lang"))
     )
     assert spark.range(1).select(G.coarse_pos(tagged).alias("p")).first().p == ["DT", "DT", "VB", "VB", "NN", "."]
+
+
+def test_nested_lines_may_go_without_lists_of_tokens(spark):
+    lists = ["tagged_tokens", "tokens_list", "pos_tags"]
+    rows = V.utterances(spark, SF).limit(50)
+    bare = D.flatten(D.nest(rows.drop(*lists)))
+    assert not set(lists) & set(bare.columns)
+    whole = D.flatten(D.nest(rows)).drop(*lists).select(bare.columns)
+    assert whole.exceptAll(bare).count() == 0 and bare.count() == 50
+    plan = Q.flatten_utterances(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "pos_tags" not in plan
+
+
+def test_ids_are_joined_by_broadcast_or_by_shuffling(spark, monkeypatch):
+    rows = spark.createDataFrame([(c, i) for c in (5, 0, 7) for i in range(3)], "conv_pos long, utt_idx int")
+    found = []
+    for most in (3, 2):
+        monkeypatch.setattr(O, "MAX_BROADCAST", most)
+        ids = O.with_dense_id(rows)
+        found.append(sorted((r.id, r.conv_pos) for r in ids.collect()))
+        assert ("ResolvedHint (strategy=broadcast)" in ids._jdf.queryExecution().analyzed().toString()) == (most == 3)
+    assert found == [[(i, c) for i, c in enumerate([0] * 3 + [5] * 3 + [7] * 3)]] * 2
