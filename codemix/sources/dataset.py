@@ -126,8 +126,10 @@ def nest(utterances: DataFrame) -> DataFrame:
     )
 
 
-def write_conversations(utterances: DataFrame, path: str, conversations: DataFrame | None = None) -> None:
-    """JSON lines, UTF-8, non-ASCII characters kept.
+def write_conversations(
+    utterances: DataFrame, path: str, conversations: DataFrame | None = None, compression: str | None = None,
+) -> None:
+    """JSON lines, UTF-8, non-ASCII characters kept; plain unless a `compression` that Spark knows is named.
 
     `conversations` has the headers; those without any utterance get a line too.
     """
@@ -139,7 +141,7 @@ def write_conversations(utterances: DataFrame, path: str, conversations: DataFra
         lines = lines.unionByName(
             empty.withColumns({"part": F.lit(0).cast("bigint"), "utterances": none})
         )
-    lines.write.mode("overwrite").json(path)
+    lines.write.mode("overwrite").json(path, compression=compression)
 
 
 def read_conversations(spark: SparkSession, path: str) -> DataFrame:

@@ -58,3 +58,13 @@ def test_ids_are_joined_by_broadcast_or_by_shuffling(spark, monkeypatch):
         found.append(sorted((r.id, r.conv_pos) for r in ids.collect()))
         assert ("ResolvedHint (strategy=broadcast)" in ids._jdf.queryExecution().analyzed().toString()) == (most == 3)
     assert found == [[(i, c) for i, c in enumerate([0] * 3 + [5] * 3 + [7] * 3)]] * 2
+
+
+def test_lines_may_be_compressed(spark, tmp_path):
+    rows = V.utterances(spark, SF).limit(50)
+    for name, compression, ending in (("plain", None, ".json"), ("small", "gzip", ".json.gz")):
+        path = tmp_path / name
+        D.write_conversations(rows, str(path), compression=compression)
+        assert {f.name[f.name.index("."):] for f in path.glob("part-*")} == {ending}
+    back = [D.flatten(D.read_conversations(spark, str(tmp_path / name))) for name in ("plain", "small")]
+    assert back[0].count() == back[1].count() == 50 and back[0].exceptAll(back[1]).count() == 0
