@@ -68,3 +68,12 @@ def test_lines_may_be_compressed(spark, tmp_path):
         assert {f.name[f.name.index("."):] for f in path.glob("part-*")} == {ending}
     back = [D.flatten(D.read_conversations(spark, str(tmp_path / name))) for name in ("plain", "small")]
     assert back[0].count() == back[1].count() == 50 and back[0].exceptAll(back[1]).count() == 0
+
+
+def test_utterances_are_counted_once_for_their_ids(spark, monkeypatch):
+    counted, write = [], O.written
+    plan_of = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(O, "written", lambda df, purpose: counted.append(plan_of(df).count("Range (")) or write(df, purpose))
+    rows = spark.range(30).select((F.col("id") % 5).alias("conv_pos"), F.floor(F.col("id") / 5).cast("int").alias("utt_idx"))
+    assert sorted(r.id for r in O.with_dense_id(rows).collect()) == list(range(30))
+    assert sum(counted) == 1
