@@ -105,27 +105,72 @@ def flatten_tokens(utterances: DataFrame) -> DataFrame:
     ).select("conv_pos", "utt_idx", "pos", "t.token", "t.lang")
 
 
-def nest(utterances: DataFrame) -> DataFrame:
+def nest(utterances: DataFrame, packed: bool = False) -> DataFrame:
     """Conversation lines with their utterances in order. The lists of tokens make up most of what is
-    shuffled: drop those columns first if the lines are read without them."""
-    stored = [
-        _stored(F.col(c)).alias(c) if c == "tagged_tokens" else F.col(c)
-        for c in _STORED if c in utterances.columns or c not in _LISTS
-    ]
+    shuffled: drop those columns first if the lines are read without them, or have them `packed` on the way.
+    """
+    names = [c for c in _STORED if c in utterances.columns or c not in _LISTS]
+    lists = [c for c in names if packed and c in _LISTS]
+    others = [c for c in names if c not in lists]
+    stored = [_stored(F.col(c)).alias(c) if c == "tagged_tokens" else F.col(c) for c in others]
+    in_order = F.array_sort(F.collect_list("u"))
+    if lists:
+        parts = _parts(lists)
+        stored += [x.alias(f"{name}_{kind}") for name, c in parts.items() for kind, x in _as_text(name, c, parts)]
+        # two steps: an expression inside a higher-order function is evaluated again wherever it is written
+        read = F.transform(in_order, lambda u: F.struct(
+            *[u[c].alias(c) for c in others], *[_of_text(u, name).alias(f"_{name}") for name in parts],
+            *([u["tokens_list_same"].alias("same")] if _SAME <= parts.keys() else []),
+        ))
+        nested = F.transform(read, lambda u: F.struct(*[_whole(u, c, parts).alias(c) if c in lists else u[c].alias(c) for c in names]))
+    else:
+        nested = F.transform(in_order, lambda u: u.dropFields("utt_idx"))
     row = utterances.select(
         "conv_pos", F.floor(F.col("utt_idx") / LINE_UTTERANCES).alias("part"),
-        "conversation_id", "strategy", "topic",
-        F.struct("utt_idx", *stored).alias("u"),
+        "conversation_id", "strategy", "topic", F.struct("utt_idx", *stored).alias("u"),
     )
     return row.groupBy("conv_pos", "part").agg(
         F.any_value("conversation_id").alias("conversation_id"),
         F.any_value("strategy").alias("strategy"), F.any_value("topic").alias("topic"),
-        F.transform(
-            F.array_sort(F.collect_list("u")), lambda u: u.dropFields("utt_idx")
-        ).alias("utterances"),
+        nested.alias("utterances"),
     )
 
 
+_SEPARATOR = "\u0001"
+_SAME = {"token", "tokens_list"}
+
+
+def _parts(lists: list[str]) -> dict[str, Column]:
+    """The lists of strings that the stored lists are made of."""
+    parts = {}
+    for c in lists:
+        parts |= {"token": F.col(c)["token"], "lang": F.col(c)["lang"]} if c == "tagged_tokens" else {c: F.col(c)}
+    return parts
+
+
+def _as_text(name: str, c: Column, parts: dict[str, Column]):
+    """A list joined to one text, or as it is where it can't be split again. As an array every string takes 16 bytes or more.
+    A list that repeats the tokens is left out."""
+    text = F.array_join(c, _SEPARATOR)
+    fits = F.coalesce(F.split(text, _SEPARATOR) == c, F.lit(False))
+    if name == "tokens_list" and _SAME <= parts.keys():
+        same = F.coalesce(parts["token"] == c, F.lit(False))
+        return ("same", same), ("text", F.when(~same & fits, text)), ("raw", F.when(~same & ~fits, c))
+    return ("text", F.when(fits, text)), ("raw", F.when(~fits, c))
+
+
+def _of_text(u: Column, name: str) -> Column:
+    return F.coalesce(F.split(u[f"{name}_text"], _SEPARATOR), u[f"{name}_raw"])
+
+
+def _whole(u: Column, name: str, parts: dict[str, Column]) -> Column:
+    if name == "tagged_tokens":
+        return F.zip_with(u["_token"], u["_lang"], lambda token, lang: F.array(token, lang))
+    if name == "tokens_list" and _SAME <= parts.keys():
+        return F.when(u["same"], u["_token"]).otherwise(u["_tokens_list"])
+    return u[f"_{name}"]
+
+
 def write_conversations(
     utterances: DataFrame, path: str, conversations: DataFrame | None = None, compression: str | None = None,
 ) -> None:
@@ -133,7 +178,7 @@ def write_conversations(
 
     `conversations` has the headers; those without any utterance get a line too.
     """
-    lines = nest(utterances)
+    lines = nest(utterances, packed=True)
     if conversations is not None:
         header = headers(conversations).select("conv_pos", "conversation_id", "strategy", "topic")
         empty = header.join(utterances.select("conv_pos").distinct(), "conv_pos", "left_anti")

@@ -202,3 +202,41 @@ def test_new_ids_follow_the_existing_ones(spark):
 ])
 def test_output_names(path, expected):
     assert D.output_path(path, "fixed") == expected
+
+
+def test_lines_are_those_of_the_json_writer(spark, tmp_path):
+    """Quotes, line ends, nulls, equal places and missing columns; lists are shuffled as text."""
+    pair = "array<struct<token:string,lang:string>>"
+    rows = [
+        (1, 0, 11, "A", 'say "hi"\n', "ñ\\u0001 é", 2, [("a", "en"), (None, "es")], ["a"], None, "yes", 33.3, "s", "t"),
+        (1, 1, 11, "B", "abc d", None, None, None, None, ["NN"], None, None, "s", "t"),
+        (1, 1, 11, "B", "abc", None, None, [], [], [], None, 0.1, "s", "t"),
+        (1, 2, 11, "B", "", "", 0, [("a\x01b", "en"), ("", "es")], ["a\x01b", ""], ["", ""], "no", 0.1, "s", "t"),
+        (1, 3, 11, "B", "", "", 0, [("a", "en"), None, ("", "")], ["a", None, ""], ["x", None], "no", 0.1, "s", "t"),
+        (1, 4, 11, "B", "", "", 0, [("", "en")], ["other", "", ""], [""], "no", 0.1, "s", "t"),
+        (None, 0, None, None, None, None, None, None, None, None, None, None, None, None),
+        (3, 5000, 13, "A", "late", "late", 1, [("late", "en")], ["late"], ["NN"], "no", 1e-9, None, None),
+    ]
+    u = spark.createDataFrame(rows, (
+        "conv_pos long, utt_idx int, conversation_id long, speaker string, text string, original_text string, tokens int, "
+        f"tagged_tokens {pair}, tokens_list array<string>, pos_tags array<string>, has_code_switch string, spanish_percentage double, strategy string, topic string"
+    ))
+    for k, table in enumerate((u, u.drop("tokens_list", "pos_tags"))):
+        D.nest(table).write.json(f"{tmp_path}/{k}-expected")
+        D.write_conversations(table, f"{tmp_path}/{k}-got", compression="gzip")
+        lines = [sorted(r.value for r in spark.read.text(f"{tmp_path}/{k}-{kind}").collect()) for kind in ("got", "expected")]
+        assert lines[0] == lines[1] and len(lines[0]) == 3
+
+
+def test_lists_are_written_from_packed_ones(spark, tmp_path, monkeypatch):
+    seen, nest = [], D.nest
+    monkeypatch.setattr(D, "nest", lambda u, packed=False: seen.append(packed) or nest(u, packed))
+    u = spark.range(3).selectExpr(
+        "id AS conv_pos", "0 AS utt_idx", "id AS conversation_id", "'s' AS strategy", "'t' AS topic", "'A' AS speaker", "'x' AS text",
+        "'x' AS original_text", "1 AS tokens", "array(struct('x' AS token, 'en' AS lang)) AS tagged_tokens", "array('x') AS tokens_list",
+        "array('NN') AS pos_tags", "'no' AS has_code_switch", "0.0D AS spanish_percentage",
+    )
+    D.write_conversations(u, f"{tmp_path}/lines")
+    assert seen == [True]
+    assert nest(u, packed=True).schema.simpleString() == nest(u).schema.simpleString()
+    assert sorted(nest(u, packed=True).collect()) == sorted(nest(u).collect())
