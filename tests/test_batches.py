@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codemix.functions import batches as B, sequences as S, tagging as G, text as T
-from codemix.operators import features as X
+from codemix.operators import features as X, parse as P
 from codemix.session import written
 
 ODD = [*" \t\x0b\x1c\x85  　aBzñéÑß0٣_.,!?¿¡;:'\"-<>|\x01\x02日", "el", "LA", " que ", "İ", "Σ", "́"]
@@ -89,3 +89,26 @@ def test_answers_are_parsed_once(spark, small, name):
 
     plan = entry.queries()[name](spark, small)._jdf.queryExecution().toString()
     assert "CONVERSACI" not in plan.split("== Physical Plan ==")[1]
+
+
+def test_enough_tokens_are_those_that_are_counted(spark):
+    rng = random.Random(12)
+    texts = [None, "", "a b c", "abc d.f", "a,b", "¿a", "\u0001casa \u0001la, x", "a\nb\nc", "a...", " - - a b-c"]
+    texts += ["".join(rng.choice("ab.,!é-\u0001 \n日") for _ in range(rng.randint(0, 9))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for n in (1, 2, 3):
+        wrong = rows.where(~G.has_tokens(F.col("t"), n).eqNullSafe(G.count_tokens(F.col("t")) >= n))
+        assert wrong.count() == 0
+
+
+def test_answers_are_parsed_once_for_their_numbers(spark, monkeypatch):
+    """What is numbered is read from tables that the numbering has stored."""
+    stored, write = [], P.written
+    monkeypatch.setattr(P, "written", lambda df, purpose: stored.append(purpose) or write(df, purpose))
+    answers = spark.range(40).select((F.col("id") % 7).alias("batch_id"), F.col("id").cast("int").alias("segment"), F.udf(lambda x: x, "long")("id").alias("x"))
+    numbered = P.assign_conversation_ids(answers, spark.range(0).select(F.col("id").alias("conversation_id")))
+    single = P.assign_response_ids(answers.withColumnRenamed("batch_id", "response_id"), spark.range(3).select(F.col("id").alias("conversation_id")))
+    assert stored == ["dialogues", "answers", "answer-numbers"]
+    assert "PythonUDF" not in numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.conversation_id for r in numbered.collect()) == list(range(40))
+    assert {(r.response_id, r.conversation_id) for r in single.collect()} == {(k, k + 3) for k in range(7)}
